@@ -31,7 +31,7 @@ def is_token(value: Column) -> Column:
 
 def luhn_valid(value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.length(digits) >= 13) & F.luhn_check(digits)
+    return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
 def plain_ipv4(value: Column) -> Column:

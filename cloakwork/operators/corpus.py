@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
@@ -187,12 +187,10 @@ def _with_number(token: str, n: int) -> str:
 
 def _everywhere(shown: DataFrame, words: DataFrame) -> DataFrame:
     """Names of the dictionary that still stand bare in some document are replaced there too: the texts' words are joined with the names."""
-    spark: SparkSession = shown.sparkSession
-    del spark
     names = words.filter("category in ('hostname', 'ad_domain_user', 'domain') and length(key) between 4 and 80").filter(F.col("key").rlike(r"^[a-zA-Z0-9._$-]+$"))
     names = names.groupBy(F.lower("key").alias("w")).agg(F.min(F.struct("key", "placeholder")).alias("hit"))
     found = shown.select("id", F.explode(F.array_distinct(F.flatten(F.array(F.regexp_extract_all(F.lower("redacted"), F.lit(r"[a-z0-9._$-]{4,80}"), F.lit(0)), F.regexp_extract_all(F.lower("redacted"), F.lit(r"[a-z0-9_$-]{4,80}"), F.lit(0)))))).alias("word"))
-    hits = found.join(names, F.rtrim(F.lit("."), F.col("word")) == F.col("w")).groupBy("id").agg(F.collect_set("hit").alias("hits")).select(F.col("id").alias("i"), "hits")
+    hits = found.join(names, F.rtrim(F.col("word"), F.lit(".")) == F.col("w")).groupBy("id").agg(F.collect_set("hit").alias("hits")).select(F.col("id").alias("i"), "hits")
     joined = shown.join(hits, shown["id"].eqNullSafe(F.col("i")), "left").select("id", "redacted", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

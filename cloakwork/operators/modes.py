@@ -46,7 +46,8 @@ def unified_diff(before: str, after: str) -> str:
 
 def stats(redacted: DataFrame, *by: str) -> DataFrame:
     """(by, category, n_values, n_documents, n_replacements); a rollup over the columns in `by` if there are any."""
-    rows = redacted.select(*by, F.monotonically_increasing_id().alias("row"), F.explode("applied").alias("a")).select(*by, "row", F.col("a.category").alias("category"), F.col("a.original").alias("original"))
+    numbered = redacted.select(*by, "applied").withColumn("row", F.monotonically_increasing_id())  # before the rows multiply
+    rows = numbered.select(*by, "row", F.explode("applied").alias("a")).select(*by, "row", F.col("a.category").alias("category"), F.col("a.original").alias("original"))
     grouped = rows.rollup(*by, "category") if by else rows.groupBy("category")
     return grouped.agg(F.countDistinct("row", "original").alias("n_values"), F.countDistinct("row").alias("n_documents"), F.count("*").alias("n_replacements"))
 

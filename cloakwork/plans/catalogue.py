@@ -86,7 +86,7 @@ def detect_counts_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("detect_by_source_lang", f"select d.source, d.lang, v.rule, count(*) as n from ({_ALL_VALUES}) v join documents d using (doc_id) group by rollup (d.source, d.lang, v.rule)")
 def detect_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    each = F.flatten(F.array(*[F.transform(native.matches(F.col("text"), r), lambda v, r=r: F.lit(r)) for r in _FOUR]))
+    each = F.flatten(F.array(*[F.array_repeat(F.lit(r), F.size(native.matches(F.col("text"), r))) for r in _FOUR]))
     return docs.select("source", "lang", F.explode(each).alias("rule")).rollup("source", "lang", "rule").agg(F.count("*").alias("n"))
 
 
@@ -199,7 +199,7 @@ def check_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.check(_natural(spark, sf_dir))
 
 
-@query("redaction_stats_by_category", f"select rule as category, sum(v) as n_values, count(*) as n_documents, cast(sum(n) as bigint) as n_replacements from (select rule, doc_id, count(distinct value) as v, count(*) as n from ({_ALL_VALUES}) group by rule, doc_id) group by rule")
+@query("redaction_stats_by_category", f"select rule as category, cast(sum(v) as bigint) as n_values, count(*) as n_documents, cast(sum(n) as bigint) as n_replacements from (select rule, doc_id, count(distinct value) as v, count(*) as n from ({_ALL_VALUES}) group by rule, doc_id) group by rule")
 def redaction_stats_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.stats(_natural(spark, sf_dir))
 
@@ -232,8 +232,8 @@ def redact_corpus_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dictionary_first_appearance", """
     with seen as (select n_nationkey as d, 1 as p, 'dc' || (n_regionkey * 7 % 5) || '.corp.local' as h from nation union all select n_nationkey, 2, 'web' || n_nationkey || '.corp.local' from nation),
-    first as (select h, min(d * 10 + p) as at from seen group by h)
-    select h as "key", 'hostname' as category, row_number() over (order by at) as ordinal, printf('[HOST_REDACTED_%04d]', row_number() over (order by at)) as placeholder, h as original from first""")
+    first as (select h, min(d * 10 + p) as w from seen group by h)
+    select h as "key", 'hostname' as category, row_number() over (order by w) as ordinal, printf('[HOST_REDACTED_%04d]', row_number() over (order by w)) as placeholder, h as original from first""")
 def dictionary_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as doc_id", "'host dc' || (n_regionkey * 7 % 5) || '.corp.local met web' || n_nationkey || '.corp.local' as text")
     return corpus.redact_corpus(docs)[1]
@@ -244,8 +244,8 @@ _EMAILS = _values_sql("email")
 
 @query("redact_documents_corpus_scope", f"""
     with v as ({_EMAILS}), first as (select value, min(doc_id) as d from v group by value),
-    p as (select f.value, f.d, position(f.value in t.text) as at from first f join documents t on t.doc_id = f.d)
-    select value as original, 'email' as category, row_number() over (order by d, at) as ordinal from p""")
+    p as (select f.value, f.d, position(f.value in t.text) as w from first f join documents t on t.doc_id = f.d)
+    select value as original, 'email' as category, row_number() over (order by d, w) as ordinal from p""")
 def redact_documents_corpus_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus dictionary of the e-mail addresses in documents, numbered by first appearance."""
     only = tuple(r for r in rules.built_in() if r.name == "email")
@@ -340,8 +340,8 @@ def candidate_public_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("review_filter_findings", "select s_suppkey as k, 'Project X' || s_suppkey as reported from supplier")
 def review_filter_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "'about project x' || s_suppkey || ' on nginx' as lower_text", "'about Project X' || s_suppkey || ' on nginx' as text")
-    rows = rows.withColumn("findings", F.array(F.concat(F.lit("project x"), F.col("k")), F.concat(F.lit('"Project X'), F.col("k"), F.lit('" (name)')), F.lit("nginx 1.18"), F.lit("[IPV4_REDACTED_0001]:80"), F.lit("token=[SECRET_REDACTED_0002]"), F.lit("12 seconds"), F.lit("rockyou.txt")))
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "'about Project X' || s_suppkey || ' on nginx' as text")
+    rows = rows.withColumn("findings", F.array(F.concat(F.lit("project x"), F.col("k")), F.concat(F.lit('"Project X'), F.col("k"), F.lit(' (name)')), F.lit("nginx 1.18"), F.lit("[IPV4_REDACTED_0001]:80"), F.lit("token=[SECRET_REDACTED_0002]"), F.lit("12 seconds"), F.lit("rockyou.txt")))
     return review.filter_reported(rows).select("k", F.explode("reported").alias("reported"))
 
 
