@@ -4,7 +4,7 @@
 2. Each curve has a random rotation to `dims` axes and a random shift of its grid; a point's key is its place on that Hilbert curve.
 3. Keys are cut into ranges by quantiles, about `range_rows` points each but at least `least_ranges` ranges; a range that still
    holds many points (of one grid cell) is dealt out in parts. Ranges are groups of a Spark shuffle, so a task holds one group's queries and one batch of its points.
-4. A query goes to its own range and to its neighbours on either side, `window` of all rows each way. Every group returns the query's best
+4. A query goes to its own range and to its neighbours on either side, `window` of all rows each way, `least_window` rows at least. Every group returns the query's best
    candidates by single-precision distance.
 5. What the windows found is merged, and distances are computed anew in double precision on the original vectors.
 
@@ -64,7 +64,7 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, curves: int = 8, window: float = 0.125, range_rows: int = 20_000, least_ranges: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, curves: int = 8, window: float = 0.125, least_window: int = 512, range_rows: int = 20_000, least_ranges: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row where is_query (a condition on a column `id`) holds."""
     spark = vectors.sparkSession
     rows = clean(vectors, id_col, vec_col).dropDuplicates(["id"])
@@ -80,7 +80,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, curves: int =
     n, length = size["n"], size["d"]
     maker = Curves(length, float(size["norm"]) / np.sqrt(length), curves)
     n_ranges = max(least_ranges, -(-n // range_rows))
-    each_side = max(1, round(window * n_ranges))
+    each_side = min(n_ranges, max(1, int(np.ceil(max(window * n, least_window) * n_ranges / n))))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
