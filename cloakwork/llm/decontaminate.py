@@ -212,7 +212,7 @@ def test_blocks(items: DataFrame, window: int, block_words: int, id_col: str, te
     n = 1 + size // (6 * block_words)
     # an item's length bounds a block from below; toLocalIterator holds one partition at a time
     found, held, total = [], [], 0
-    for r in (chosen.repartition(int(n), "id") if n > 1 else chosen).toLocalIterator():
+    for r in chosen.repartition(int(n), "id").toLocalIterator() if n > 1 else chosen.collect():
         held.append((r["id"], r["text"]))
         total += len(r["text"] or "")
         if total > 6 * block_words:

@@ -208,46 +208,48 @@ class Scorer:
         return names, *flat, np.concatenate([*rejects, np.zeros(0, bool)])
 
 
-def sampled(docs: DataFrame, learn: Column, per_class: int, class_col: str, key_col: str) -> DataFrame:
-    """About per_class rows of each class, chosen by a hash of the key: the counts of the classes set each class' share."""
-    rows = docs.filter(learn & F.col(class_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect()}  # one number per class
+def sampled(docs: DataFrame, learn: Column, per_class: int, total: int) -> DataFrame:
+    """About per_class of the rows (k, lang, text) of each language, `total` in all at most, chosen by a hash of the key: the counts of the languages set their shares."""
+    rows = docs.filter(learn & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one number per language
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_class / n)))])
-    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col(key_col)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(spread < share[F.col(class_col)])
+    wanted = min(per_class, max(1, total // len(counts)))
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, wanted / n)))])
+    spread = F.pmod(F.xxhash64(F.lit("sample"), F.col("k")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.filter(spread < share[F.col("lang")])
 
 
-def fit(docs: DataFrame, learn: Column, *, order: int = 5, sample_docs: int = 600, sample_words: int = 400_000, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> KneserNey:
-    """Fits the models on a bounded sample of the labelled documents that `learn` admits."""
-    rows = sampled(docs.select(F.col(key_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), learn, sample_docs, "lang", "k")
+def fit(docs: DataFrame, learn: Column, *, order: int = 5, sample_docs: int = 600, sample_total: int = 6000, sample_words: int = 400_000, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> KneserNey:
+    """Fits the models on a bounded sample of the labelled documents that `learn` (over a column k, the key) admits."""
+    rows = sampled(docs.select(F.col(key_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), learn, sample_docs, sample_total)
+    place = F.xxhash64(F.lit("place"), "k", "text")
     counts: dict[str, dict[bytes, int]] = {}
     held: dict[str, list[str]] = {}
     n_words: dict[str, int] = {}
-    for i, r in enumerate(rows.select("lang", "text").toLocalIterator()):
-        if not r["text"]:
+    # the sample is bounded; its order doesn't depend on how Spark cuts the table
+    for r in sorted(rows.filter("length(text) > 0").select("lang", place.alias("place"), "text").collect()):
+        language = r["lang"]
+        if r["place"] % 10 == 9:
+            held.setdefault(language, []).append(r["text"])
             continue
-        if i % 10 == 9:
-            held.setdefault(r["lang"], []).append(r["text"])
+        if n_words.get(language, 0) > sample_words:
             continue
-        if n_words.get(r["lang"], 0) > sample_words:
-            continue
-        own = counts.setdefault(r["lang"], {})
+        own = counts.setdefault(language, {})
         for _, _, data, offsets in blocks(pa.array([r["text"]])):
             lower, starts, ends = letters(data, offsets)
             raw = lower.tobytes()
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 w = raw[a:b]
                 own[w] = own.get(w, 0) + 1
-            n_words[r["lang"]] = n_words.get(r["lang"], 0) + len(starts)
+            n_words[language] = n_words.get(language, 0) + len(starts)
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return KneserNey([], order)
     model = KneserNey.fit(counts, order)
     scorer = Scorer(model, 0.0)
     for language in model.languages:
-        own = np.concatenate([scorer.score(pa.array(held[language]))[2], []]) if language in held else np.zeros(0)
+        own = scorer.score(pa.array(held.get(language, []), pa.string()))[2]
         own = own[~np.isnan(own)]
         if len(own) >= 5:
             mid = float(own.mean())
