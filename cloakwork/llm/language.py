@@ -5,9 +5,10 @@ highest order counts occurrences, the lower ones the distinct characters to the
 takes to the order below, down to a uniform floor. The models of all languages lie side by side in arrays sorted by the
 n-gram's hash: one search finds an n-gram's discounted probability in every language.
 
-A text's cross-entropy in a language is the mean of its words' character losses. The lowest wins. `rejected` is set where a text has no letter, or
-where even the lowest cross-entropy lies above what calibration texts of that language (a tenth of the fitting sample, held back) show:
-their mean and `margin` times the distance of their 99 % quantile from it, more for short texts, whose mean varies.
+A text's cross-entropy in a language is the mean of its words' character losses. The lowest wins. `rejected` is set where a text has no letter,
+or where even the lowest cross-entropy lies above what calibration texts (a tenth of the fitting sample, held back) show: the mean of that language's
+and `margin` times the 99 % quantile of all texts' excess over their language's mean, more for short texts, whose mean varies. Text in a language that
+was not learnt, or that is no language, lies beyond it; a learnt language with names, numbers or another learnt language in it doesn't.
 
 The fitting sample is bounded: about `sample_docs` documents of each language, chosen by a hash of the key, whatever the corpus' size.
 Everything else sees whole texts and all documents.
@@ -32,6 +33,7 @@ from .chunks import ChunkStore, blocks, mixed, runs, summed
 BOUNDARY = 2
 CHUNKS = 1_000_000
 SHARPNESS = 8.0
+LEAST_CALIBRATION, LEAST_SPREAD = 20, 0.3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -247,13 +249,17 @@ def fit(docs: DataFrame, learn: Column, *, order: int = 5, sample_docs: int = 60
     if not counts:
         return KneserNey([], order)
     model = KneserNey.fit(counts, order)
-    scorer = Scorer(model, 0.0)
+    scorer, mids, excess = Scorer(model, 0.0), {}, [np.zeros(0)]
     for language in model.languages:
         own = scorer.score(pa.array(held.get(language, []), pa.string()))[2]
         own = own[~np.isnan(own)]
-        if len(own) >= 5:
-            mid = float(own.mean())
-            model.limit[language] = mid, max(0.05, float(np.quantile(own, 0.99)) - mid)
+        if len(own):
+            mids[language] = float(own.mean())
+            excess.append(own - mids[language])
+    pooled = np.concatenate(excess)
+    if len(pooled) >= LEAST_CALIBRATION:  # one spread for all: a single language has too few texts for its tail
+        spread = max(LEAST_SPREAD, float(np.quantile(pooled, 0.99)))
+        model.limit = {x: (mids.get(x, max(mids.values())), spread) for x in model.languages}
     return model
 
 
