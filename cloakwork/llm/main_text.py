@@ -35,6 +35,8 @@ _TOKEN = re.compile(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_UNMARKED = VOID | frozenset("html body main p b i em strong a h1 h2 h3 h4 h5 h6".split())
+_ARTICLE = re.compile(r"<article\b", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 MARKS = frozenset(
@@ -54,7 +56,9 @@ def _is_marked(attributes: str) -> bool:
 class Lines:
     """The lines of a page: text, characters that count, whether boilerplate, and whether inside a marked article."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, marks: bool = True):
+        self.marks = marks
+        self.container = "article" if _ARTICLE.search(html) else "main"
         self.text: list[str] = []
         self.length: list[int] = []
         self.boiler: list[bool] = []
@@ -62,6 +66,11 @@ class Lines:
         self.has_article = False
         self._read(html)
 
+    def _is_boilerplate(self, name: str, attributes: str, article: int) -> bool:
+        if name in BOILERPLATE:
+            return not (name == "header" and article)  # an article's own header holds its title
+        return bool(self.marks and attributes and name not in _UNMARKED and _is_marked(attributes))
+
     def _read(self, html: str) -> None:
         parts: list[str] = []
         linked = 0
@@ -102,21 +111,21 @@ class Lines:
                 if skipped and name in skipped:
                     while skipped.pop() != name:
                         pass
-                if name in ("article", "main") and not skipped:
+                if name == self.container and not skipped:
                     article = max(0, article - 1)
                 continue
             if skipped:
-                # an article, or the body, is never inside of what comes before it: an element there was left open
-                if name in ("article", "main", "body") and "article" not in skipped:
+                # the article, or the body, is never inside of what comes before it: an element there was left open
+                if name in (self.container, "body") and not self.has_article and not self._is_boilerplate(name, attributes, article):
                     skipped.clear()
                 elif name not in VOID and not attributes.rstrip().endswith("/"):
                     skipped.append(name)
                     continue
-            if name in ("article", "main"):
+            if self._is_boilerplate(name, attributes, article):
+                skipped.append(name)
+            elif name == self.container:
                 article += 1
                 self.has_article = True
-            elif name in BOILERPLATE or (attributes and name not in ("body", "html", "p", "b", "i", "em", "strong", "a", *VOID) and _is_marked(attributes)):
-                skipped.append(name)
         if place < len(html):
             rest = html[place:]
             parts.append(rest)
@@ -149,6 +158,8 @@ def main_text(html: str | None, *, window: int = 3, surge: int = 40, share: floa
     if not html:
         return ""
     page = Lines(html)
+    if all(page.boiler):  # the words of a class or id may stand on a wrapper of the whole page
+        page = Lines(html, marks=False)
     marked = page.has_article and any(i and not b for i, b in zip(page.inside, page.boiler, strict=True))
     if marked:  # inside of a marked article links count too
         length = [len(t) if i and not b else 0 for t, b, i in zip(page.text, page.boiler, page.inside, strict=True)]

@@ -108,6 +108,11 @@ def test_op3_query_and_sql(spark, sf):
         ("<main><h2>T</h2><ul><li>1</li><li>2</li></ul></main>", "T\n1\n2"),
         ("<p>tiny</p>", "tiny"),
         ("a < b and <p", "a < b and"),
+        ("<article><header><h1>T</h1></header><p>x</p><footer>by me</footer></article><section class='comments'><article><p>I said</p></article></section>", "T\nx"),
+        ("<div class='with-sidebar'><p>all of it</p></div>", "all of it"),
+        ("<main><div id=menu>m</div><article>a</article><p>teaser</p></main>", "a"),
+        ("<div class=nav><article>left open before</article>", "left open before"),
+        ("<article>a</article><article class='comment'>no</article>", "a"),
     ],
 )
 def test_main_text(html, want):
