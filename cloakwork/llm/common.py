@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -28,10 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isDefined():
             return os.path.dirname(held.get().rstrip("/")) or held.get()
         found = tempfile.mkdtemp(prefix="cloakwork-")
-        spark.conf.set("spark.cloakwork.ownCheckpointDir", found)
         spark.sparkContext.setCheckpointDir(found)
-        import atexit
-
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
@@ -48,14 +46,6 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a stored table that nothing reads any more."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Memo(dict):
     """A memo of a pure function that is emptied when it holds `limit` entries, so that its memory is bounded."""
 

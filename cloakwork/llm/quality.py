@@ -45,9 +45,6 @@ for _c in b".?!":
 def _distinct(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     """Distinct keys of each document."""
     pair = mixed(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.sort(pair)
-    if not len(order):
-        return np.zeros(n)
     kept, first = np.unique(pair, return_index=True)
     return np.bincount(doc[first], minlength=n).astype(float)
 
