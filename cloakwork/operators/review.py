@@ -47,7 +47,7 @@ STRIPS = [
 KEYED = r"^[A-Za-z_][A-Za-z0-9_.-]{0,30}\s*[:=]\s*(.+)$"
 EXTRA_TOKENS = [r"\[CUSTOM_[A-Z0-9_]*REDACTED_\d+\]", r"REDACTED_\d+", r"example(?:\d+)?\.internal\d*"]
 
-_shape = re.compile("|".join([*(re.sub(r"\\\{n:\d+d\\\}", r"\\d+", re.escape(t).replace(":02d", ":02d")).replace(r"\{mask\}", r"\d{1,3}") for t in sorted(set(TEMPLATES.values()))), *EXTRA_TOKENS]))
+_shape = re.compile("|".join([*(re.sub(r"\\\{n:\d+d\\\}", r"\\d+", re.escape(t)).replace(r"\{mask\}", r"\d{1,3}") for t in sorted(set(TEMPLATES.values()))), *EXTRA_TOKENS]))
 
 Reviewer = Callable[[str], str]
 
