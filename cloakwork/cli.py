@@ -14,6 +14,7 @@ from .operators.redact import redact_text
 from .operators.restore import restore_text, unresolved
 from .operators.safety import scan
 from .sources import config as settings
+from .sources import doctor
 from .sources.files import output_path, write_private
 from .sources.maps import export_map, import_map
 from .sources.sessions import SessionError, Store, audit, audit_record
@@ -24,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="*")
     p.add_argument("-o", "--output")
     p.add_argument("--output-dir")
-    for flag in ("--check", "--dry-run", "--diff", "--restore", "--scan", "--list-rules", "--list-sessions", "--init-config", "-v"):
+    for flag in ("--check", "--dry-run", "--diff", "--restore", "--scan", "--list-rules", "--list-sessions", "--init-config", "--doctor", "--consume", "-v"):
         p.add_argument(flag, action="store_true")
     for flag in ("--config", "--profile", "--targets", "--import-map", "--export-map", "--session", "--save-session", "--session-ttl", "--state-dir", "--audit-log", "--forget-session"):
         p.add_argument(flag)
@@ -57,6 +58,10 @@ def _run(a: argparse.Namespace) -> int:
     if a.forget_session:
         store.forget(a.forget_session)
         return 0
+    if a.doctor:
+        text, code = doctor.report(doctor.checks(a.config, store.folder))
+        print(text)
+        return code
     policy = settings.policy(settings.load(a.config) if a.config else {}, a.profile, _csv(a.enable), _csv(a.disable))
     extra = [*settings.R.custom_values(_csv(a.redact))]
     if a.targets:
@@ -87,7 +92,12 @@ def _run(a: argparse.Namespace) -> int:
         for t, _ in out:
             if left := unresolved(t):
                 print(f"warning: {len(left)} tokens not restored: {', '.join(left[:5])}" + (f", +{len(left) - 5} more" if len(left) > 5 else ""), file=sys.stderr)
-        return _emit(a, names, [t for t, _ in out], private=True)
+        code = _emit(a, names, [t for t, _ in out], private=True)
+        if a.audit_log:
+            audit(a.audit_log, audit_record("restore", [x for _, log in out for x in log], names))
+        if a.consume and a.session:  # only once the output is there
+            store.forget(a.session)
+        return code
     done = [redact_text(t, policy, ledger) for t in texts]
     if len(done) > 1:  # what a later file taught holds for earlier ones too
         done = [(again, log + more) for (t, log) in done for again, more in [redact_text(t, policy, ledger)]]

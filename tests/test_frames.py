@@ -233,6 +233,9 @@ def test_command_line(tmp_path, capsys):
     assert (tmp_path / "r").read_text() == "host [IPV4_REDACTED_0001] and [IPV4_REDACTED_0002]\n"
     assert main([str(tmp_path / "r"), "--restore", "--session", "x", *state]) == 0
     assert capsys.readouterr().out == f.read_text()
+    assert main([str(tmp_path / "r"), "--restore", "--session", "x", "--consume", "-o", str(tmp_path / "back"), *state]) == 0
+    assert (tmp_path / "back").read_text() == f.read_text() and main(["--list-sessions", *state]) == 0 and capsys.readouterr().out.strip() == ""
+    assert main(["--doctor", *state]) == 0 and "PASS rules" in capsys.readouterr().out
     assert main([str(f), "--check"]) == 1 and capsys.readouterr().out == "ipv4: 2\n"
     assert main([str(f), "--dry-run", "--allow", "10.1.2.3"]) == 0 and capsys.readouterr().out == "10.1.2.4 -> [IPV4_REDACTED_0001]\n"
     assert main([str(f), "--diff", "--disable", "ipv4"]) == 0 and capsys.readouterr().out == ""
