@@ -26,7 +26,7 @@ from .chunks import ChunkStore, blocks, summed
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNKS = 600_000
+CHUNKS = 1_390_000
 
 
 class CountViterbi:
