@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import spread
 from . import grammar as g
 from .dialect import group_number, to_java
 
@@ -63,7 +64,7 @@ def identity_key(value: Column, rule: str) -> Column:
 def detections(docs: DataFrame, rules: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per match of each rule on the original text: id, rule, pos (from 0 within the rule), value, map_key. No shuffle."""
     each = F.array(*[F.struct(F.lit(r).alias("rule"), matches(F.col(text_col), r).alias("values")) for r in rules])
-    found = docs.select(F.col(id_col), F.explode(each).alias("d")).filter(F.size("d.values") > 0)
+    found = spread(docs.select(id_col, text_col)).select(F.col(id_col), F.explode(each).alias("d")).filter(F.size("d.values") > 0)
     rows = found.select(id_col, F.col("d.rule").alias("rule"), F.posexplode("d.values").alias("pos", "value"))
     key = reduce(lambda c, r: c.when(F.col("rule") == r, identity_key(F.col("value"), r)), rules[1:], F.when(F.col("rule") == rules[0], identity_key(F.col("value"), rules[0])))
     return rows.withColumn("map_key", key)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import spread, stored
 from .ledger import find_tokens, host_tokens
 from .redact import Policy, _standalone, redact_text
 
@@ -50,7 +50,7 @@ def _own_tokens(docs: DataFrame, policy: Policy, id_col: str, order_col: str, te
             kind = pa.list_(pa.struct([("seq", pa.int32()), ("category", pa.string()), ("key", pa.string()), ("original", pa.string()), ("token", pa.string())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(born, kind), pa.array(held, pa.list_(pa.string()))], ["id", "ord", "text", "born", "held"])
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("ord"), F.col(text_col).alias("text"))
+    d = spread(docs.select(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("ord"), F.col(text_col).alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ord long, text string, born array<struct<seq:int,category:string,key:string,original:string,token:string>>, held array<string>")
 
 

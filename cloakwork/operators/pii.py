@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grammar import CONTEXTUAL_PII
+from ..sources.storage import spread
 from .redact import Policy, redact_text, redact_values
 
 # fixed values
@@ -144,7 +145,7 @@ def redact_classified(text: str, policy: Policy, classifier: Classifier, *, stri
 def pii_candidates(docs: DataFrame, policy: Policy | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per candidate: id_col and the candidate's fields, its id as candidate_id. No shuffle."""
     policy = policy or Policy()
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    d = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow:

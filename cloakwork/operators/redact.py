@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions import grammar as g
+from ..sources.storage import spread
 from .ledger import Ledger, host_tokens
 from .rules import Rule, apply_rule, built_in, in_order
 
@@ -185,7 +186,7 @@ def redact_documents(docs: DataFrame, policy: Policy | None = None, *, text_col:
     policy, defer = policy or Policy(), frozenset(defer)
     new = (out_col, "applied", "reverse_map")
     kept = [c for c in docs.columns if c not in new]
-    source = docs.select(*[docs[c] for c in kept], docs[text_col].alias("__text"))
+    source = spread(docs.select(*[docs[c] for c in kept], docs[text_col].alias("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import grammar as g
+from ..sources.storage import spread
 
 _STRONG = [(c, re.compile(g.PATTERNS[p])) for c, p in g.OUTBOUND]
 _CONTEXT = [(c, re.compile(p)) for c, p in g.OUTBOUND_CONTEXT]
@@ -41,7 +42,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per finding: id, category, start, end. The rule of equal spans is a window over (id, start, end)."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    d = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = "array<struct<rank:int,category:string,start:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

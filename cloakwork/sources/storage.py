@@ -29,3 +29,17 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a scan that comes in fewer partitions than there are cores, so that a small table of one row group still uses all of them.
+
+    Tables that are cut into enough partitions, and anything that has a shuffle of its own, stay as they are.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.executedPlan().toString().startswith("AdaptiveSparkPlan") or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
