@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkStore, blocks, pretoken_cuts
-from .common import Memo
+from .common import Memo, spread
 
 #: Entries of the memos that one Python worker holds.
 CHUNKS, PAIRS, PIECES = 600_000, 400_000, 20_000
@@ -150,7 +150,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             ids = list(bpe.encode_column(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["id", "ids", "n_tokens"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ids binary, n_tokens long").withColumnRenamed("id", id_col)
 
 
@@ -179,5 +179,5 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "do
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import shared_dir, spread, stored
+
+__all__ = ["WORD_TABLE", "Memo", "fresh_path", "shared_dir", "spread", "stored", "table", "words"]
+
 #: ASCII bytes that end a word: everything below 0x80 but 0-9, A-Z and a-z. Bytes from 0x80 up belong to words.
 WORD_TABLE = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else (b + 32 if 0x41 <= b <= 0x5A else 0x20)
@@ -21,31 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without one (tests) gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return os.path.dirname(held.get().rstrip("/")) or held.get()
-        found = tempfile.mkdtemp(prefix="cloakwork-")
-        spark.sparkContext.setCheckpointDir(found)
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found
-
-
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Memo(dict):
     """A memo of a pure function that is emptied when it holds `limit` entries, so that its memory is bounded."""
 

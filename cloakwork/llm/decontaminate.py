@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import HashIndex, blocks, gathered, hashes, mixed, per_text, runs, summed
-from .common import WORD_TABLE, words
+from .common import WORD_TABLE, spread, words
 
 TABLE = np.frombuffer(WORD_TABLE, np.uint8)
 SHARD_BYTES = 8 << 20
@@ -241,7 +241,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_
                 out = [b.column(0).slice(lo, n), pa.array(shard.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(n_hit > 0)]
                 yield pa.RecordBatch.from_arrays(out, ["id", "n_words", "n_hit", "n_items", "items", "contaminated"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean").withColumnRenamed("id", id_col)
 
 
@@ -266,7 +266,7 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, least: int = 10, block
                     out = [pa.array(it.names[it.item[some]].tolist(), pa.string()), pa.array(some - begin, pa.int64()), pa.array(found["length"][some], pa.int64()), b.column(0).slice(lo).take(pa.array(doc)), pa.array(word - first[doc], pa.int64())]
                     yield pa.RecordBatch.from_arrays(out, ["item", "item_word", "length", "id", "word"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     each = d.mapInArrow(run, f"item string, item_word long, length long, id {d.schema['id'].dataType.simpleString()}, word long")
     best = each.groupBy("item", "item_word").agg(F.min(F.struct((-F.col("length")).alias("l"), "id", "word")).alias("b"))
     return best.select(F.col("item").alias(item_col), "item_word", (-F.col("b.l")).alias("length"), F.col("b.id").alias(id_col), F.col("b.word").alias("word"))
@@ -288,7 +288,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, *, max_hit_share: flo
                 n_hit = summed(shard.hit.astype(np.int64), np.concatenate([[0], np.cumsum(shard.n_words)]))
                 yield b.slice(lo, n).filter(pa.array(n_hit <= max_hit_share * shard.n_words))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def items_digest(names: list[str]) -> str:

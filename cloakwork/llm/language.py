@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkStore, blocks, mixed, runs, summed
+from .common import spread
 
 BOUNDARY = 2
 CHUNKS = 1_000_000
@@ -273,7 +274,7 @@ def identify(docs: DataFrame, model: KneserNey, *, margin: float = 3.0, id_col:
             names, score, entropy, reject = scorer.score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(reject)], ["id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean").withColumnRenamed("id", id_col)
 
 
@@ -286,4 +287,4 @@ def accepted(docs: DataFrame, model: KneserNey, *, margin: float = 3.0, text_col
         for b in batches:
             yield b.filter(pa.array(~scorer.score(b.column(where))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import spread
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|iframe|object|svg|math|select|textarea|title|button|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -190,7 +192,7 @@ def main_text(html: str | None, *, window: int = 3, surge: int = 40, share: floa
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", window: int = 3, surge: int = 40, share: float = 0.3) -> DataFrame:
     """A row per page: all columns of `pages` but the html, and text and n_chars (code points). One pass, no shuffle."""
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    source = pages.select(*kept, pages[html_col].alias("__html"))
+    source = spread(pages.select(*kept, pages[html_col].alias("__html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

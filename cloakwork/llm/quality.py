@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks, hashes, mixed, runs, summed
+from .common import spread
 
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "sign_share", "odd_sign_share", "space_share", "line_rate", "high_share",
@@ -210,11 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_docs: int =
 
 def score(docs: DataFrame, model: Additive, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id and score. One pass, no shuffle."""
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return d.mapInArrow(_kernel(sent, None, 1, "score"), f"id {d.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Additive, threshold: float = 0.3, *, text_col: str = "text") -> DataFrame:
     """The documents with a score of threshold or more, with all their columns. One pass, no shuffle, no join."""
-    return docs.mapInArrow(_kernel(docs.sparkSession.sparkContext.broadcast(model), threshold, docs.columns.index(text_col), ""), docs.schema)
+    return spread(docs).mapInArrow(_kernel(docs.sparkSession.sparkContext.broadcast(model), threshold, docs.columns.index(text_col), ""), docs.schema)

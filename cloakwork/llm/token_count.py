@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkStore, blocks, summed
+from .common import spread
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -108,5 +109,5 @@ def count_tokens(docs: DataFrame, model_path: str, *, byte_fallback: bool = True
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1)), pa.int64())], ["id", "n_tokens"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n_tokens long").withColumnRenamed("id", id_col)
