@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks, hashes, mixed, runs
-from .common import WORD_TABLE, stored
+from .common import WORD_TABLE, spread, stored
 from .components import components
 
 HASHES, CHUNK = 160, 40
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, n: int, band: int, id_col: str, text_col: str) ->
                     bands.append(x[1] if x else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "sig", "bands"])
 
-    d = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, digest binary, sig binary, bands array<long>")
 
 
@@ -268,7 +268,8 @@ def similar_documents(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, to
 
     wanted = near.select("digest").distinct().join(nodes.select("digest", "rep", "copies"), "digest").select("digest", "rep", "copies")
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    read = text.join(wanted, text["id"].eqNullSafe(wanted["rep"])).select("digest", "copies", "text")
+    # the list of ids grows with the documents: a sort-merge join at every size, never a broadcast
+    read = text.join(wanted.hint("merge"), text["id"].eqNullSafe(wanted["rep"])).select("digest", "copies", "text")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,12 +319,14 @@ def similar_documents(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, to
     least_id = classes.groupBy("root").agg(F.min("rep").alias("class_id")).select(F.col("root").alias("of"), "class_id")
     classes = classes.join(least_id, F.col("root") == F.col("of")).join(counts, F.col("digest") == F.col("linked"), "left")
     classes = classes.select(F.col("digest").alias("own"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = all_docs.select("id", "digest").join(classes, F.col("digest") == F.col("own"), "left")
+    # from tables on both sides, so that Spark can split the digest that most copies share
+    out = all_docs.select("id", "digest").join(stored(classes, "classes"), F.col("digest") == F.col("own"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents whose id is their class' smallest, with all their columns; of rows with equal ids one stays."""
+    """The documents whose id is their class' smallest, with all their columns; rows of equal ids stay together if one of them does."""
     found = similar_documents(docs, id_col=id_col, **kw)
-    kept = stored(found.filter(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    stays = found.groupBy(F.col(id_col).alias("__gone")).agg(F.bool_or(F.col("class_id").eqNullSafe(F.col(id_col))).alias("__stays"))
+    gone = stored(stays.filter("not __stays").select("__gone"), "gone")
+    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
