@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .chunks import ChunkStore, blocks, gathered, pretoken_cuts
 
 MAGIC, HEAD = b"RPT1", struct.Struct("<4sIQIII")
-SYMBOLS, CHUNKS = 1 << 16, 600_000
+SYMBOLS, CHUNKS = 1 << 16, 1_390_000
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_docs int, n_tokens long, first_id long, last_id long, blob binary"
 
 
