@@ -4,7 +4,7 @@ Payload bytes are stored once, under their SHA-256 (and their length); exact rec
 Parquet tables in the shared folder, so Spark's committer writes them and a lost executor costs a retry:
 
 - `headers`: page id, the header block of the record byte for byte, payload digest and length, record type, target of a revisit;
-- `payloads`: digest, length, bytes; one row for each distinct payload.
+- `payloads`: digest, length, smallest page id, bytes; one row for each distinct payload.
 
 `records` joins the two by digest and length and gives back the records as they would stand in a WARC 1.1 file: header block, empty line, payload
 (none for a revisit), two line ends. `verify` computes the digests anew from the stored bytes.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 LEAST_BYTES = 100
 CRLF = "\r\n"
 HEADERS = "page_id long, headers string, payload_digest string, payload_bytes long, record_type string, refers_to long"
-PAYLOADS = "payload_digest string, payload_bytes long, payload binary"
+PAYLOADS = "payload_digest string, payload_bytes long, owner long, payload binary"
 
 
 def _header(kind: Column) -> Column:
@@ -50,17 +50,17 @@ def _header(kind: Column) -> Column:
 def write_archive(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"))
     p = p.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    # One aggregate gives each payload's owner and its bytes, which are the same in all its rows: copies meet before the shuffle, so bytes
+    # travel once and a payload that many pages share is no hot key.
+    stored = p.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("owner"), F.first("payload").alias("payload"))
+    stored.select(*[x.split()[0] for x in PAYLOADS.split(", ")]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    owners = payloads(pages.sparkSession, path).select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "owner")
     slim = p.select("page_id", "url", "payload_digest", "payload_bytes")
-    # one row per record, numbered, so that one of several rows with the smallest id can be the response
-    owners = slim.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("owner")).select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "owner")
     mine = slim.join(owners, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")))
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     mine = mine.withColumn("refers_to", F.when(revisit, F.col("owner"))).withColumn("record_type", kind)
     mine.withColumn("headers", _header(F.col("record_type"))).select(*[x.split()[0] for x in HEADERS.split(", ")]).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # the bytes go once with each owner: a semi join on (digest, id), after which equal rows are left out
-    chosen = p.join(owners, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-    chosen.dropDuplicates(["payload_digest", "payload_bytes"]).select(*[x.split()[0] for x in PAYLOADS.split(", ")]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
