@@ -8,7 +8,9 @@ match fits, the place is closed and the step before is taken back, so no place i
 Compatibility is memoised by pair.
 
 Defined results: null and empty texts have no ids; ids of a text depend on nothing else; every text decodes to its
-own UTF-8 bytes; lone surrogates cannot occur in Spark strings. A rank file must hold all 256 single bytes.
+own UTF-8 bytes; lone surrogates cannot occur in Spark strings; rows of equal ids or texts each get a row, an empty table none; other columns are
+left out. A rank file must hold all 256 single bytes. Texts are cut into chunks only for patterns that the cuts are known to be right for; with
+another pattern a chunk is a whole text.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkStore, blocks, pretoken_cuts
-from .common import Memo, spread
+from .chunks import CUT_PATTERNS, ChunkStore, blocks, pretoken_cuts, whole_texts
+from .common import Memo, released, spread
 
 #: Entries of the memos that one Python worker holds.
 CHUNKS, PAIRS, PIECES = 600_000, 400_000, 20_000
@@ -50,6 +52,7 @@ class ByteBPE:
             self.shorter[r] = next((made[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in made), -1)
         self.automaton.make_automaton()
         self.findall = regex.compile(pattern).findall
+        self.cuts = pretoken_cuts if pattern in CUT_PATTERNS else whole_texts
         self.piece = Memo(self._piece, PIECES)
         self.store = ChunkStore(self._solve, np.uint32, CHUNKS)
 
@@ -110,7 +113,7 @@ class ByteBPE:
         Texts are cut where a match of the pattern always begins; each distinct chunk is encoded once while it is remembered.
         """
         for _, _, data, offsets in blocks(column):
-            starts, ends = pretoken_cuts(data, offsets)
+            starts, ends = self.cuts(data, offsets)
             ids, sizes = self.store.gather(self.store.codes(data, starts, ends))
             raw, at = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)] * 4
             for i, j in zip(at.tolist(), at.tolist()[1:], strict=False):
@@ -144,6 +147,7 @@ def encoder(ranks_path: str, pattern: str) -> ByteBPE:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, ids as binary (unsigned 32-bit, little-endian) and n_tokens. No shuffle."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for b in batches:
@@ -157,6 +161,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id") -> DataFrame:
     """The inverse of encode_documents: id and the bytes that the ids stand for."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for b in batches:
@@ -169,6 +174,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, *, id_co
 def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text in one pass over it and keeps n_tokens and digests of the ids and of the decoded bytes."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for b in batches:

@@ -16,14 +16,15 @@ from .common import stored
 def _star(edges: DataFrame) -> DataFrame:
     """edges (u, v), both directions wanted: the smallest of u and its neighbours for each u, joined to each edge."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return edges.join(least, edges["u"] == least["c"]).select("u", "v", "m")
+    # the key is an expression, so that both sides are dealt out for the join alone: Spark can then split a node that most edges meet at
+    return edges.join(least, edges["u"] == F.greatest(least["c"], least["c"])).select("u", "v", "m")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node that has an edge to another, and the smallest node of its component. Null ends and loops don't count."""
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:  # every round that changes an edge lowers one of its ends, so the rounds come to an end
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # the edge from each node to its own minimum, so that no node gets lost
@@ -35,6 +36,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

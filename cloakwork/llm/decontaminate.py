@@ -4,15 +4,17 @@ Training texts are dealt with in shards, slices of the Arrow batches that a task
 
 1. Words become numbers of the benchmark's vocabulary, all others -1.
 2. Places where the next `anchor` words are no run of words of any test item can begin no match that counts, and are left
-   out with an exact lookup. What is left, runs of words with a mark between them, is the shard's training string.
+   out by a lookup that never misses one and may let a few more through. What is left, runs of words with a mark between them, is the
+   shard's training string. Words are compared byte by byte, not by a hash alone.
 3. Its suffix array is built by prefix doubling, to the depth of the longest test item.
 4. Every suffix of every test item is searched in it by binary search, word by word, for all suffixes at once. That gives
    the interval of places that hold its window, and its longest verbatim match with the places.
 
 Occurrences of windows mark words as hit; documents with a hit word are affected.
 
-The test items are the stated query set. Their size is checked before they are sent to the executors; more than
-`block_words` of them are taken in blocks, one after the other within each task's shard, and all of a document's hits meet there.
+The test items are the stated query set. They come to the executors in blocks of about `block_words` words, one broadcast at a time: with several blocks
+there is a pass over the texts for each, and between passes a table in the shared folder holds the rows with the words hit so far, a bit each, and
+the items found. One item is in one block whole, so an item's length bounds a block from below.
 
 Defined results: null texts and items have no words, thus no window; an item without an id takes no part; equal items
 count each under its own id; equal rows of documents each get a row; no items: nothing is hit.
@@ -21,15 +23,16 @@ count each under its own id; equal rows of documents each get a row; no items: n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .chunks import HashIndex, blocks, gathered, hashes, mixed, per_text, runs, summed
-from .common import WORD_TABLE, spread, words
+from .chunks import ByteIndex, HashIndex, blocks, gathered, hashes, mixed, per_text, runs, summed, words_at
+from .common import WORD_TABLE, released, spread, stored, words
 
 TABLE = np.frombuffer(WORD_TABLE, np.uint8)
 SHARD_BYTES = 8 << 20
@@ -47,8 +50,7 @@ class TestItems:
         self.ids = [i for i, _ in found]
         self.names = np.array(self.ids, object)
         raw = b"".join(vocabulary)
-        ends = np.cumsum([len(x) for x in vocabulary], dtype=np.int64)
-        self.keys = hashes(np.frombuffer(raw, np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if vocabulary else np.zeros(0, np.uint64)
+        self.vocabulary = np.frombuffer(raw, np.uint8), np.cumsum([len(x) for x in vocabulary], dtype=np.int64)
         sizes = np.array([len(w) for _, w in found], np.int64)
         self.words = np.array([number[x] for _, w in found for x in w], np.int32)
         self.item = np.repeat(np.arange(len(found)), sizes)
@@ -57,15 +59,18 @@ class TestItems:
         self.is_window = self.left >= self.window
         self.longest = int(sizes.max(initial=0))
         self.anchor = int(min(3, self.window.min(initial=3)))
-        self.index: tuple[HashIndex, HashIndex] | None = None
+        self.index: tuple[ByteIndex, HashIndex] | None = None
 
-    def ready(self) -> tuple[HashIndex, HashIndex]:
+    def ready(self) -> tuple[ByteIndex, HashIndex]:
+        """Numbers of the items' words, and their runs of `anchor` words."""
         if self.index is None:
-            vocabulary = HashIndex(max(16, len(self.keys)))
-            vocabulary.add(self.keys)
+            data, ends = self.vocabulary
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+            vocabulary = ByteIndex(max(16, len(ends)))
+            vocabulary.add(data, starts, ends, hashes(data, starts, ends))
             grams = np.unique(_grams(self.words, self.anchor)[self.left[: max(0, len(self.words) - self.anchor + 1)] >= self.anchor])
             anchors = HashIndex(max(16, len(grams)))
-            anchors.add(grams)
+            anchors.add(grams, np.arange(len(grams), dtype=np.int32))
             self.index = vocabulary, anchors
         return self.index
 
@@ -76,7 +81,7 @@ def _grams(numbers: np.ndarray, k: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(k):
         key = mixed(key * np.uint64(0x100000001B3) + numbers[j : j + n].astype(np.int64).astype(np.uint64) + np.uint64(7))
-    return key
+    return key | np.uint64(1)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -141,7 +146,8 @@ class Shard:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         lower = TABLE[data]
         self.starts, self.ends = runs(lower != 32, offsets)
-        self.hashes = hashes(lower, self.starts, self.ends)
+        self.lower, self.eights = lower, words_at(lower)
+        self.hashes = hashes(lower, self.starts, self.ends, self.eights)
         self.n_words = per_text(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(self.n_words)), self.n_words)
         self.hit = np.zeros(len(self.starts), bool)
@@ -149,7 +155,7 @@ class Shard:
     def find(self, items: TestItems) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """The search's result, the suffix array, and the word that each place of the training string is (-1: a mark)."""
         vocabulary, anchors = items.ready()
-        number = vocabulary.find(self.hashes)
+        number = vocabulary.find(self.lower, self.starts, self.ends, self.hashes, self.eights)
         k, n = items.anchor, len(number)
         m = max(0, n - k + 1)
         good = np.ones(m, bool)
@@ -161,7 +167,7 @@ class Shard:
             key = np.zeros(len(maybe), np.uint64)
             for j in range(k):
                 key = mixed(key * np.uint64(0x100000001B3) + number[maybe + j].astype(np.int64).astype(np.uint64) + np.uint64(7))
-            maybe = maybe[anchors.find(key) >= 0]
+            maybe = maybe[anchors.find(key | np.uint64(1)) >= 0]
         if not len(maybe):
             none = np.zeros(len(items.words), np.int64)
             return {"low": none, "high": none, "length": none, "place": none}, np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -205,58 +211,90 @@ class Shard:
         return pair // len(items.ids), pair % len(items.ids)
 
 
-def test_blocks(items: DataFrame, window: int, block_words: int, id_col: str, text_col: str) -> list[TestItems]:
-    """The test items, read in blocks of a bounded size."""
+def item_blocks(items: DataFrame, window: int, block_words: int, id_col: str, text_col: str) -> Iterator[TestItems]:
+    """The test items in blocks of a bounded size, at least one; the driver holds one block, and one partition of its texts, at a time."""
     chosen = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // (6 * block_words)
-    # an item's length bounds a block from below; toLocalIterator holds one partition at a time
-    found, held, total = [], [], 0
-    for r in chosen.repartition(int(n), "id").toLocalIterator() if n > 1 else chosen.collect():
-        held.append((r["id"], r["text"]))
-        total += len(r["text"] or "")
-        if total > 6 * block_words:
-            found.append(TestItems(held, window))
+    most = 6 * block_words  # bytes
+    held, total = [], 0
+    for r in chosen.repartition(int(1 + size // most), "id").toLocalIterator() if size > most else chosen.collect():
+        more = len(r["text"] or "")
+        if held and total + more > most:
+            yield TestItems(held, window)
             held, total = [], 0
-    return [*found, TestItems(held, window)] if held or not found else found
+        held.append((r["id"], r["text"]))
+        total += more
+    yield TestItems(held, window)
 
 
-test_blocks.__test__ = False
+Finish = Callable[[list[pa.Array], Shard, list[list[str]]], pa.RecordBatch]
+
+
+def _over_blocks(source: DataFrame, where: int, tests: Iterator[TestItems], finish: Finish, schema) -> DataFrame:
+    """The rows of source, whose column `where` is the text, with all items marked: `finish` makes the result's rows of each shard's."""
+    spark, n_columns = source.sparkSession, len(source.columns)
+    between = T.StructType([*source.schema.fields, T.StructField("__hit", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
+    held, test = source, next(tests)
+    while True:
+        following = next(tests, None)
+        sent = spark.sparkContext.broadcast(test)
+
+        @released
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, goes_on=held is not source, last=following is None) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, n, data, offsets in blocks(b.column(where), SHARD_BYTES):
+                    part, shard = b.slice(lo, n), Shard(data, offsets)
+                    first = np.concatenate([[0], np.cumsum(shard.n_words)])
+                    names: list[list[str]] = part.column(n_columns + 1).to_pylist() if goes_on else [[] for _ in range(n)]
+                    if goes_on:
+                        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(m)) for x, m in zip(part.column(n_columns).to_pylist(), shard.n_words, strict=True)]
+                        shard.hit |= np.concatenate(bits).astype(bool)
+                    for d, i in zip(*(x.tolist() for x in shard.mark(sent.value)), strict=True):
+                        names[d].append(sent.value.ids[i])
+                    columns = part.columns[:n_columns]
+                    if last:
+                        yield finish(columns, shard, names)
+                    else:
+                        bits = [np.packbits(shard.hit[i:j]).tobytes() for i, j in zip(first.tolist(), first.tolist()[1:], strict=False)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], between.names)
+
+        if following is None:
+            return held.mapInArrow(run, schema)
+        held, test = stored(held.mapInArrow(run, between), "marked"), following
+        sent.destroy()
+
+
+def _n_hit(shard: Shard) -> np.ndarray:
+    return summed(shard.hit.astype(np.int64), np.concatenate([[0], np.cumsum(shard.n_words)]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document: its id, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated."""
-    sc = docs.sparkSession.sparkContext
-    tests = [sc.broadcast(t) for t in test_blocks(items, window, block_words, item_col, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, n, data, offsets in blocks(b.column(1), SHARD_BYTES):
-                shard = Shard(data, offsets)
-                names: list[list[str]] = [[] for _ in range(n)]
-                for t in tests:
-                    for d, i in zip(*(x.tolist() for x in shard.mark(t.value)), strict=True):
-                        names[d].append(t.value.ids[i])
-                n_hit = summed(shard.hit.astype(np.int64), np.concatenate([[0], np.cumsum(shard.n_words)]))
-                out = [b.column(0).slice(lo, n), pa.array(shard.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(n_hit > 0)]
-                yield pa.RecordBatch.from_arrays(out, ["id", "n_words", "n_hit", "n_items", "items", "contaminated"])
+
+    def finish(columns: list[pa.Array], shard: Shard, names: list[list[str]]) -> pa.RecordBatch:
+        n_hit = _n_hit(shard)
+        out = [columns[0], pa.array(shard.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(n_hit > 0)]
+        return pa.RecordBatch.from_arrays(out, ["id", "n_words", "n_hit", "n_items", "items", "contaminated"])
 
     d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean").withColumnRenamed("id", id_col)
+    schema = f"id {d.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
+    return _over_blocks(d, 1, item_blocks(items, window, block_words, item_col, item_text), finish, schema).withColumnRenamed("id", id_col)
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, *, least: int = 10, block_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """For every test suffix (item, word it begins at) with a match of `least` words or more: the longest one's length, and the document and word where it stands (the smallest)."""
     sc = docs.sparkSession.sparkContext
-    tests = [sc.broadcast(t) for t in test_blocks(items, least, block_words, item_col, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, _, data, offsets in blocks(b.column(1), SHARD_BYTES):
-                shard = Shard(data, offsets)
-                first = np.concatenate([[0], np.cumsum(shard.n_words)])
-                for t in tests:
-                    it = t.value
+    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    found = None
+    for test in item_blocks(items, least, block_words, item_col, item_text):
+        sent = sc.broadcast(test)
+
+        @released
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, _, data, offsets in blocks(b.column(1), SHARD_BYTES):
+                    shard, it = Shard(data, offsets), sent.value
+                    first = np.concatenate([[0], np.cumsum(shard.n_words)])
                     found, _, source = shard.find(it)
                     some = np.flatnonzero(found["length"] >= np.minimum(least, it.window))
                     some = some[found["length"][some] > 0]
@@ -266,29 +304,23 @@ def longest_matches(docs: DataFrame, items: DataFrame, *, least: int = 10, block
                     out = [pa.array(it.names[it.item[some]].tolist(), pa.string()), pa.array(some - begin, pa.int64()), pa.array(found["length"][some], pa.int64()), b.column(0).slice(lo).take(pa.array(doc)), pa.array(word - first[doc], pa.int64())]
                     yield pa.RecordBatch.from_arrays(out, ["item", "item_word", "length", "id", "word"])
 
-    d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    each = d.mapInArrow(run, f"item string, item_word long, length long, id {d.schema['id'].dataType.simpleString()}, word long")
-    best = each.groupBy("item", "item_word").agg(F.min(F.struct((-F.col("length")).alias("l"), "id", "word")).alias("b"))
-    return best.select(F.col("item").alias(item_col), "item_word", (-F.col("b.l")).alias("length"), F.col("b.id").alias(id_col), F.col("b.word").alias("word"))
+        each = d.mapInArrow(run, f"item string, item_word long, length long, id {d.schema['id'].dataType.simpleString()}, word long")
+        best = each.groupBy("item", "item_word").agg(F.min(F.struct((-F.col("length")).alias("l"), "id", "word")).alias("b"))
+        best = stored(best.select(F.col("item").alias(item_col), "item_word", (-F.col("b.l")).alias("length"), F.col("b.id").alias(id_col), F.col("b.word").alias("word")), "matches")
+        found = best if found is None else found.union(best)
+        sent.destroy()
+    return found
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, *, max_hit_share: float = 0.0, **kw) -> DataFrame:
-    """The documents without a hit word, or with at most this share of their words hit, with all their columns. One pass, no join."""
-    sc = docs.sparkSession.sparkContext
-    text_col = kw.get("text_col", "text")
-    tests = [sc.broadcast(t) for t in test_blocks(items, kw.get("window", 10), kw.get("block_words", 4_000_000), kw.get("item_col", "item_id"), kw.get("item_text", "text"))]
-    where = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, n, data, offsets in blocks(b.column(where), SHARD_BYTES):
-                shard = Shard(data, offsets)
-                for t in tests:
-                    shard.mark(t.value)
-                n_hit = summed(shard.hit.astype(np.int64), np.concatenate([[0], np.cumsum(shard.n_words)]))
-                yield b.slice(lo, n).filter(pa.array(n_hit <= max_hit_share * shard.n_words))
-
-    return spread(docs).mapInArrow(run, docs.schema)
+def remove_contaminated(docs: DataFrame, items: DataFrame, *, max_hit_share: float = 0.0, window: int = 10, block_words: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a hit word, or with at most this share of their words hit, with all their columns. One pass for each block of items, no join."""
+
+    kept = docs.columns
+
+    def finish(columns: list[pa.Array], shard: Shard, names: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(_n_hit(shard) <= max_hit_share * shard.n_words))
+
+    return _over_blocks(spread(docs), docs.columns.index(text_col), item_blocks(items, window, block_words, item_col, item_text), finish, docs.schema)
 
 
 def items_digest(names: list[str]) -> str:

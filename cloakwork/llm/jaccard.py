@@ -1,20 +1,22 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-1. A document becomes the set of the 64-bit hashes of its word n-grams (five words; ASCII letters lower-cased), a 128-bit digest of the set and
-   a signature: the low 8 bits of 160 MinHash values. Documents of equal sets are one node; only nodes go on, so copies never meet in pairs.
+1. A document becomes its words (ASCII letters lower-cased) with one space between them. Documents of equal words are one node, known by a 128-bit
+   digest of them; only nodes go on, so copies never meet in pairs. A node's signature is the low 8 bits of 160 MinHash values of its word n-grams (five words).
 2. Nodes that share five signature values in one of 32 bands meet in that band's bucket. Two sets of similarity 0.8 miss all bands with
    a probability of 3e-6; other thresholds get the widest bands with at most that.
-3. Buckets larger than `block` are dealt into pairs of blocks, so a hot bucket is many small tasks. A pair that meets in several
-   bands is looked at in the first only. Its signatures are compared eight bands at a time, and it is dropped as soon as the posterior
-   probability that its similarity reaches the threshold, given the matches so far and a uniform prior, is below `tolerance`.
-4. The texts of the nodes that are left are read again; their pairs are verified exactly on the sets. A task keeps, of the verified
-   links, each node's number of linked documents and a spanning forest: rows grow with the nodes, not with the pairs.
+3. Buckets of more than `block` nodes, or of more than `block_bytes` of text, are dealt into pairs of blocks, so a hot bucket is many tasks of bounded
+   size. A pair that meets in several bands is looked at in the first only. Its signatures are compared eight bands at a time, and it is dropped as soon as the
+   posterior probability that its similarity reaches the threshold, given the matches so far and a uniform prior, is below `tolerance`.
+4. The texts of the nodes that are left are read again; their pairs are verified exactly: n-grams are equal if their words are, byte by byte, and
+   no hash decides. A task keeps, of the verified links, each node's number of linked documents and a spanning forest: rows grow with the nodes, not
+   with the pairs.
 5. Components of the forest edges are the classes. Each document gets its class (the smallest id in it) and the number
    of other documents that it is linked with (copies of its own text included).
 
-Defined results: a text of one to four words has one n-gram, all its words; null texts and texts without a word are alone in their class, with the class
-id that is their own id, and link with nothing; rows of equal ids and texts each get a row; a null id never becomes a class id unless
-the class has no other. Similarity at the threshold counts as a link.
+Defined results: a text of one to four words has one n-gram, all its words, so it links with texts of the same words only; null texts and texts without a word are
+alone in their class, with the class id that is their own id, and link with nothing; rows of equal ids and texts each get a row; a null id never becomes a
+class id unless the class has no other. Similarity at the threshold counts as a link. An empty table gives no row. All columns but id and text are left out
+of `similar_documents` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import blocks, hashes, mixed, runs
-from .common import WORD_TABLE, spread, stored
+from .chunks import blocks, distinct, hashes, mixed, runs
+from .common import WORD_TABLE, released, spread, stored, whole_groups, words
 from .components import components
 
 HASHES, CHUNK = 160, 40
@@ -64,7 +66,7 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text."""
+    """The sorted distinct n-gram hashes of each text, for signatures; none for a text of fewer words."""
     for _, rows, data, offsets in blocks(column):
         lower = _TABLE[data]
         starts, ends = runs(lower != 32, offsets)
@@ -76,16 +78,26 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             grams = mixed(grams * np.uint64(0x100000001B3) + shifted)
         at = np.searchsorted(starts, offsets).tolist()
         for i in range(rows):
-            lo, hi = at[i], at[i + 1]
-            if hi - lo >= n:
-                yield np.unique(grams[lo : hi - n + 1])
-            elif hi > lo:  # all words of a short text; its number of words tells it from longer n-grams
-                h = np.full(1, hi - lo, np.uint64)
-                for w in word[lo:hi]:
-                    h = mixed(h * np.uint64(0x100000001B3) + w)
-                yield h
-            else:
-                yield np.zeros(0, np.uint64)
+            yield np.unique(grams[at[i] : max(at[i], at[i + 1] - n + 1)])
+
+
+def exact_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
+    """The distinct n-grams of each body, words with a space between them, as numbers: equal ones stand for equal words. A body of fewer words has one of its own."""
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype(np.int64)
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    starts, ends = runs(data != 32, offsets)
+    word, first = distinct(data, starts, ends)
+    word, many = word.astype(np.int64), max(1, len(first))
+    gram = word
+    for j in range(1, n):  # a gram and the word after it make the next longer gram
+        gram = np.unique(gram[: max(0, len(word) - j)] * many + word[j:], return_inverse=True)[1]
+    at = np.searchsorted(starts, offsets)
+    row = np.repeat(np.arange(len(bodies)), np.diff(at))[: len(gram)]
+    whole = np.arange(len(gram)) + n <= at[1:][row]
+    size = int(gram.max(initial=0)) + 1
+    pair = np.unique(row[whole] * size + gram[whole])
+    found = np.split(pair % size, np.searchsorted(pair // size, np.arange(1, len(bodies))))
+    return [x if len(x) else np.array([-1 - i]) for i, x in enumerate(found)]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -98,32 +110,36 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _body(text: str | None) -> bytes:
+    return b" ".join(words(text))
+
+
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, n: int, band: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, sig, bands): digest is null where a text has no word. A band's key holds its number and its values."""
+    """(id, digest, size, sig, bands): digest is null where a text has no word, sig and bands also where it has fewer than n. A band's key holds its number and its values."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
+                bodies = [_body(t.as_py()) for t in part.column(1)]
                 sets = list(shingle_sets(part.column(1), n))
                 some = [s for s in sets if len(s)]
                 sig = signatures(some) if some else np.zeros((0, HASHES), np.uint8)
-                keys = band_keys(sig, band).tolist()
-                rows = iter(zip(sig, keys, strict=True))
-                digests, sigs, bands = [], [], []
-                for s in sets:
-                    x = next(rows) if len(s) else None
-                    digests.append(_digest(s) if x else None)
-                    sigs.append(x[0].tobytes() if x else None)
-                    bands.append(x[1] if x else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "digest", "sig", "bands"])
+                rows = iter(zip(sig, band_keys(sig, band).tolist(), strict=True))
+                found = [next(rows) if len(s) else None for s in sets]
+                columns = [
+                    part.column(0), pa.array([_digest(x) if x else None for x in bodies], pa.binary()), pa.array([len(x) for x in bodies], pa.int64()),
+                    pa.array([x and x[0].tobytes() for x in found], pa.binary()), pa.array([x and x[1] for x in found], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "sig", "bands"])
 
     d = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, digest binary, sig binary, bands array<long>")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, digest binary, size long, sig binary, bands array<long>")
 
 
 def band_keys(sig: np.ndarray, band: int) -> np.ndarray:
@@ -135,33 +151,6 @@ def band_keys(sig: np.ndarray, band: int) -> np.ndarray:
     return (key & np.uint64((1 << 48) - 1) | (np.arange(HASHES // band, dtype=np.uint64) << np.uint64(48))[None]).astype(np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows of whole groups; the rows come sorted by the first `keys` columns. Holds a group and a batch at most."""
-    held: list[pa.RecordBatch] = []
-
-    def last_key(b: pa.RecordBatch):
-        return tuple(b.column(c)[-1].as_py() for c in range(keys))
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        end = last_key(b)
-        changed = np.zeros(b.num_rows, bool)
-        for c in range(keys):
-            changed |= np.asarray(b.column(c)) != end[c]
-        cut = int(np.flatnonzero(changed)[-1]) + 1 if changed.any() else 0
-        if held and (cut or last_key(held[-1]) != end):
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        elif cut:
-            yield pa.Table.from_batches([b.slice(0, cut)])
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _group_numbers(t: pa.Table) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     for c in ("bucket", "i", "j"):
@@ -241,23 +230,28 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = least
 
 
-def similar_documents(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(
+    docs: DataFrame, *, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, block: int = 2048, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """A row per document: its id, class_id (the smallest id of its class) and n_links."""
     band = rows_per_band(threshold)
     least = least_matches(threshold, tolerance)
     all_docs = stored(sketches(docs, n, band, id_col, text_col), "sketches")
-    nodes = stored(all_docs.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    same = all_docs.filter("digest is not null").groupBy("digest")
+    nodes = stored(same.agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
 
-    exploded = nodes.select("digest", F.explode("bands").alias("bucket"))
-    full = exploded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("bucket").alias("full"), "m")
-    members = exploded.join(full, exploded["bucket"] == full["full"]).select("bucket", "digest", F.ceil(F.col("m") / block).cast("int").alias("nb"))
+    exploded = nodes.select("digest", "size", F.explode("bands").alias("bucket"))
+    full = exploded.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).filter("m > 1")
+    full = full.select(F.col("bucket").alias("full"), F.ceil(F.greatest(F.col("m") / block, F.least(F.col("m"), F.col("bytes") / block_bytes))).cast("int").alias("nb"))
+    members = exploded.join(full, exploded["bucket"] == full["full"]).select("bucket", "digest", "nb")
     members = members.withColumn("side", F.pmod(F.xxhash64("digest", "bucket"), F.col("nb").cast("long")).cast("int"))
     dealt = members.select("bucket", "digest", "side", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("t"))
     dealt = dealt.select("bucket", F.least("side", "t").alias("i"), F.greatest("side", "t").alias("j"), "side", F.col("digest").alias("d"))
     placed = dealt.join(nodes.select("digest", "sig"), dealt["d"] == nodes["digest"]).select("bucket", "i", "j", "side", "digest", "sig")
 
+    @released
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
+        for t in whole_groups(batches, 3):
             sig, kept = _binary(t.column("sig"), HASHES), np.zeros(t.num_rows, bool)
             for a, b in _pairs(t, sig, band, least):
                 kept[a] = kept[b] = True
@@ -266,32 +260,28 @@ def similar_documents(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, to
     key = ["bucket", "i", "j"]
     near = stored(placed.repartition(*key).sortWithinPartitions(*key, "digest").mapInArrow(prune, "bucket long, i int, j int, side int, digest binary"), "near")
 
-    wanted = near.select("digest").distinct().join(nodes.select("digest", "rep", "copies"), "digest").select("digest", "rep", "copies")
+    wanted = near.select("digest").distinct().join(nodes.select("digest", "rep", "copies", "sig"), "digest")
     text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     # the list of ids grows with the documents: a sort-merge join at every size, never a broadcast
-    read = text.join(wanted.hint("merge"), text["id"].eqNullSafe(wanted["rep"])).select("digest", "copies", "text")
+    read = text.join(wanted.hint("merge"), text["id"].eqNullSafe(wanted["rep"])).select("digest", "copies", "sig", "text")
 
+    @released
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                digests, copies = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(d, c, s) for d, c, s in zip(digests, copies, shingle_sets(part.column(2), n), strict=True) if len(s) and _digest(s) == d]
-                if rows:  # an id may stand on other texts too
-                    sig = signatures([s for *_, s in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, *_ in rows], pa.binary()), pa.array([c for _, c, _ in rows], pa.int64()), pa.array([x.tobytes() + s.tobytes() for x, (*_, s) in zip(sig, rows, strict=True)], pa.binary())], ["digest", "copies", "body"])
+            bodies = [_body(t.as_py()) for t in b.column(3)]
+            own = pa.array([_digest(x) == d for x, d in zip(bodies, b.column(0).to_pylist(), strict=True)], pa.bool_())  # an id may stand on other texts too
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies, pa.binary())], ["digest", "copies", "sig", "body"]).filter(own)
 
-    sets = read.mapInArrow(resolve, "digest binary, copies long, body binary").dropDuplicates(["digest"]).select(F.col("digest").alias("own"), "copies", "body")
-    bodies = near.join(sets, near["digest"] == sets["own"]).select("bucket", "i", "j", "side", "digest", "copies", "body")
+    texts = read.mapInArrow(resolve, "digest binary, copies long, sig binary, body binary").dropDuplicates(["digest"]).withColumnRenamed("digest", "own")
+    bodies = near.join(texts, near["digest"] == texts["own"]).select("bucket", "i", "j", "side", "digest", "copies", "sig", "body")
 
+    @released
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
-            raw = t.column("body").to_pylist()
-            sig = np.frombuffer(b"".join([x[:HASHES] for x in raw]), np.uint8).reshape(-1, HASHES)
-            all_sets = [np.frombuffer(x, "<u8", offset=HASHES) for x in raw]
+        for t in whole_groups(batches, 3):
+            all_sets = exact_sets(t.column("body").to_pylist(), n)
             size, copies = np.array([len(s) for s in all_sets], np.int64), np.asarray(t.column("copies"))
             links, ends, group = np.zeros(t.num_rows, np.int64), [], _group_numbers(t)
-            for a, b in _pairs(t, sig, band, least, 20_000):
+            for a, b in _pairs(t, _binary(t.column("sig"), HASHES), band, least, 20_000):
                 if not len(a):
                     continue
                 order = np.argsort(group[a], kind="stable")  # sets are compared group by group
@@ -305,9 +295,13 @@ def similar_documents(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, to
                 a, b = a[linked], b[linked]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
-                ends.append((a, b))
+                root = _forest(np.concatenate([*(x for x, _ in ends), a]), np.concatenate([*(x for _, x in ends), b]), t.num_rows)
+                some = np.flatnonzero(root != np.arange(t.num_rows))
+                ends = [(some, root[some])]  # of the links so far, a forest is enough
             digest = t.column("digest").to_pylist()
-            root = _forest(*(np.concatenate([x[k] for x in ends]) if ends else np.zeros(0, np.int64) for k in (0, 1)), t.num_rows)
+            root = np.arange(t.num_rows)
+            for x, y in ends:
+                root[x] = y
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([digest[k] for k in some], pa.binary()), pa.array(links[some], pa.int64()), pa.array([digest[root[k]] for k in some], pa.binary())], ["digest", "links", "root"])
 

@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkStore, blocks, mixed, runs, summed
-from .common import spread
+from .common import released, spread
 
 BOUNDARY = 2
-CHUNKS = 1_000_000
+CHUNKS, SLICE = 400_000, 4096  # words that a worker remembers, and that it solves at once
 SHARPNESS = 8.0
 LEAST_CALIBRATION, LEAST_SPREAD = 20, 0.3
 
@@ -174,7 +174,7 @@ class KneserNey:
 class Scorer:
     def __init__(self, model: KneserNey, margin: float):
         self.model, self.margin, self.width = model, margin, len(model.languages) + 1
-        self.store = ChunkStore(lambda w: list(model.losses(w)), np.float32, CHUNKS)
+        self.store = ChunkStore(lambda w: [x for lo in range(0, len(w), SLICE) for x in model.losses(w[lo : lo + SLICE]).astype(np.float32)], np.float32, CHUNKS)
 
     def score(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy (nan: no letter) and whether it is rejected, of each text."""
@@ -223,21 +223,18 @@ def sampled(docs: DataFrame, learn: Column, per_class: int, total: int) -> DataF
     return rows.filter(spread < share[F.col("lang")])
 
 
-def fit(docs: DataFrame, learn: Column, *, order: int = 5, sample_docs: int = 600, sample_total: int = 6000, sample_words: int = 400_000, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> KneserNey:
+def fit(docs: DataFrame, learn: Column, *, order: int = 5, sample_docs: int = 600, sample_total: int = 6000, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> KneserNey:
     """Fits the models on a bounded sample of the labelled documents that `learn` (over a column k, the key) admits."""
     rows = sampled(docs.select(F.col(key_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), learn, sample_docs, sample_total)
     place = F.xxhash64(F.lit("place"), "k", "text")
     counts: dict[str, dict[bytes, int]] = {}
     held: dict[str, list[str]] = {}
-    n_words: dict[str, int] = {}
     # the sample is bounded; its order doesn't depend on how Spark cuts the table
     for r in sorted(rows.filter("length(text) > 0").select("lang", place.alias("place"), "text").collect()):
         language = r["lang"]
         if r["place"] % 10 == 9:
             held.setdefault(language, []).append(r["text"])
             continue
-        if n_words.get(language, 0) > sample_words:
-            continue
         own = counts.setdefault(language, {})
         for _, _, data, offsets in blocks(pa.array([r["text"]])):
             lower, starts, ends = letters(data, offsets)
@@ -245,7 +242,6 @@ def fit(docs: DataFrame, learn: Column, *, order: int = 5, sample_docs: int = 60
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 w = raw[a:b]
                 own[w] = own.get(w, 0) + 1
-            n_words[language] = n_words.get(language, 0) + len(starts)
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return KneserNey([], order)
@@ -268,6 +264,7 @@ def identify(docs: DataFrame, model: KneserNey, *, margin: float = 3.0, id_col:
     """A row per document: its id, lang_pred, score, cross_entropy and rejected. One pass, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value, margin)
         for b in batches:
@@ -282,6 +279,7 @@ def accepted(docs: DataFrame, model: KneserNey, *, margin: float = 3.0, text_col
     """The documents that are not rejected, with all their columns. One pass, no shuffle, no join."""
     sent, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value, margin)
         for b in batches:

@@ -2,16 +2,17 @@
 
 Markup is stripped into lines: each block-level element begins and ends a line, all else runs on. Every line has a text length, the number of its
 characters that count; characters in links, and in what is marked as boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element or by
-class and id words), count nothing, and where a page marks its article, so does everything outside of it. The
-lengths are summed over a sliding window of lines. Text begins at a surge point, a line with text whose window
-rises from nothing to `surge`, and ends at the dive point, the last line with text before the window falls to nothing. The lines between are kept,
-but for those marked as boilerplate; nothing is cut off at a length.
+class and id words), count nothing. Where a page marks its article, all characters in it count, links' too, and none outside of it.
 
-Where a page does not mark its article, the spans between surge and dive are weighed and the heaviest stays, with those next to it that
-have at least `share` of its weight.
+The lengths are summed over a sliding window of lines. Text begins at a surge point, a line with text whose window rises from nothing to `surge` characters,
+and ends at the dive point, the last line with text before the window falls to nothing. Every page goes through this. The lines between are kept, but
+for those that are marked as boilerplate or lie outside of a marked article; nothing is cut off at a length. In a marked article any text is text, so there `surge`
+is one character and all stretches stay. Elsewhere the heaviest stretch stays, with those next to it that have at least `share` of its weight, and headings
+right before it; if no window reaches `surge`, one character is enough.
 
 Defined results: null and empty pages have no text; character references are decoded as HTML 5 does, without a semicolon too; white space inside a
-line becomes one space; a page cut off anywhere, even inside a tag, gives what stands before.
+line becomes one space; a page cut off anywhere, even inside a tag, gives what stands before; rows of equal ids or pages each get a row, with all other
+columns but those named text and n_chars; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -163,30 +164,22 @@ def main_text(html: str | None, *, window: int = 3, surge: int = 40, share: floa
     if all(page.boiler):  # the words of a class or id may stand on a wrapper of the whole page
         page = Lines(html, marks=False)
     marked = page.has_article and any(i and not b for i, b in zip(page.inside, page.boiler, strict=True))
-    if marked:  # inside of a marked article links count too
-        length = [len(t) if i and not b else 0 for t, b, i in zip(page.text, page.boiler, page.inside, strict=True)]
-    else:
-        length = [0 if b else n for n, b in zip(page.length, page.boiler, strict=True)]
-    found = spans(length, len(length) + 1 if marked else window, 1 if marked else surge)
-    if not found and not marked:
-        found = spans(length, window, 1)
+    kept = [not b and (i or not marked) for i, b in zip(page.inside, page.boiler, strict=True)]
+    length = [(len(t) if marked else n) if k else 0 for t, n, k in zip(page.text, page.length, kept, strict=True)]
+    found = spans(length, window, 1 if marked else surge) or spans(length, window, 1)
     if not found:
         return ""
     weight = [sum(length[a:b]) for a, b in found]
-    if marked:
-        first, last = 0, len(found) - 1
-        begin, end = found[first][0], found[last][1]
-        return "\n".join(t for t, b, i in zip(page.text[begin:end], page.boiler[begin:end], page.inside[begin:end], strict=True) if i and not b)
-    top = max(range(len(found)), key=weight.__getitem__)
-    first = last = top
-    while first and weight[first - 1] >= share * weight[top]:
+    first = last = max(range(len(found)), key=weight.__getitem__)
+    least = 0 if marked else share * weight[first]
+    while first and weight[first - 1] >= least:
         first -= 1
-    while last + 1 < len(found) and weight[last + 1] >= share * weight[top]:
+    while last + 1 < len(found) and weight[last + 1] >= least:
         last += 1
     begin, end = found[first][0], found[last][1]
-    while begin and not page.boiler[begin - 1] and page.length[begin - 1]:  # a heading right before the surge
+    while begin and length[begin - 1]:  # a heading right before the surge
         begin -= 1
-    return "\n".join(t for t, b in zip(page.text[begin:end], page.boiler[begin:end], strict=True) if not b)
+    return "\n".join(t for t, k in zip(page.text[begin:end], kept[begin:end], strict=True) if k)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", window: int = 3, surge: int = 40, share: float = 0.3) -> DataFrame:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import blocks, hashes, mixed, runs, summed
-from .common import spread
+from .chunks import blocks, distinct_per_text, hashes, runs, same_bytes, summed, words_at
+from .common import released, spread
 
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "sign_share", "odd_sign_share", "space_share", "line_rate", "high_share",
@@ -43,13 +43,6 @@ for _c in b".?!":
     _STOP[_c] = True
 
 
-def _distinct(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-    """Distinct keys of each document."""
-    pair = mixed(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    kept, first = np.unique(pair, return_index=True)
-    return np.bincount(doc[first], minlength=n).astype(float)
-
-
 def features(column: pa.Array) -> np.ndarray:
     found = [np.zeros((0, len(FEATURES)))]
     for _, n, data, offsets in blocks(column):
@@ -67,7 +60,8 @@ def features(column: pa.Array) -> np.ndarray:
         n_words = np.diff(at).astype(float)
         words = np.maximum(n_words, 1)
         doc = np.repeat(np.arange(n), np.diff(at))
-        h = hashes(data, starts, ends)
+        eights = words_at(data)
+        keys = hashes(data, starts, ends, eights)
         line_starts, line_ends = runs(data != 10, offsets)
         line_doc = np.repeat(np.arange(n), np.diff(np.searchsorted(line_starts, offsets)))
         n_lines = np.maximum(np.bincount(line_doc, minlength=n), 1)
@@ -75,14 +69,15 @@ def features(column: pa.Array) -> np.ndarray:
         same[1:] = data[1:] == data[:-1]
         longest = np.zeros(n)
         np.maximum.at(longest, doc, (ends - starts).astype(float))
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+        again = np.zeros(len(keys), bool)
+        after = np.flatnonzero((keys[1:] == keys[:-1]) & (doc[1:] == doc[:-1]) & (ends[1:] - starts[1:] == ends[:-1] - starts[:-1]))
+        again[after + 1] = same_bytes(eights, starts[after], eights, starts[after + 1], ends[after] - starts[after])
         share[:, 0], share[:, 1], share[:, 2] = np.log1p(size), np.log1p(n_words), summed(ends - starts, at) / words
         share[:, 3], share[:, 4], share[:, 5] = upper / np.maximum(upper + lower, 1), count(_DIGIT[data]) / per, count(sign) / per
         share[:, 6], share[:, 7], share[:, 8] = count(_ODD[data]) / per, count(_SPACE[data]) / per, count(data == 10) / words
         share[:, 9], share[:, 10] = count(data >= 0x80) / per, count(sign & same) / per
-        share[:, 11] = _distinct(doc, h, n) / words
-        share[:, 12] = _distinct(line_doc, hashes(data, line_starts, line_ends), n) / n_lines
+        share[:, 11] = distinct_per_text(data, starts, ends, keys, eights, doc, n) / words
+        share[:, 12] = distinct_per_text(data, line_starts, line_ends, hashes(data, line_starts, line_ends, eights), eights, line_doc, n) / n_lines
         share[:, 13], share[:, 14], share[:, 15] = np.log1p(longest), count(_STOP[data]) / words, summed(again.astype(np.int64), at) / words
         found.append(share)
     return np.concatenate(found)
@@ -182,6 +177,7 @@ def train(x: np.ndarray, y: np.ndarray, *, n_bins: int = 24, rounds: int = 150,
 
 
 def _kernel(model, threshold: float | None, where: int, name: str):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = model.value.score(features(b.column(where)))
@@ -199,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, sample_docs: int =
     # about sample_docs rows of two numbers: bounded, whatever the corpus' size
     joined = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column(1))

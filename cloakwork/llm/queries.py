@@ -107,9 +107,9 @@ ORACLE_SQL = {
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         q as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest,
-                     min(page_id) over (partition by html) as owner from p)
+                     first_value(page_id) over w as owner, row_number() over w as place from p window w as (partition by html order by page_id nulls last))
         select page_id, payload_bytes, payload_digest,
-               case when payload_bytes >= 100 and page_id <> owner then 'revisit' else 'response' end as record_type,
-               case when payload_bytes >= 100 and page_id <> owner then owner end as refers_to
+               case when payload_bytes >= 100 and place > 1 then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and place > 1 then owner end as refers_to
         from q""",
 }

@@ -9,7 +9,9 @@ equal scores the path whose last piece is longest stays. A character that no pie
 
 Texts are normalised as the model files ask: each space is U+2581, and one is put before the text. Where two neighbouring
 bytes stand side by side in no piece, every path has a bound, so the best paths of the chunks between such places add up
-to the best path of the text; each distinct chunk is solved once while it is remembered. Null and empty texts have 0 tokens.
+to the best path of the text; each distinct chunk is solved once while it is remembered.
+
+Defined results: null and empty texts have 0 tokens; rows of equal ids or texts each get a row, an empty table none; other columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkStore, blocks, summed
-from .common import spread
+from .common import released, spread
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -104,6 +106,7 @@ def counter(model_path: str, byte_fallback: bool) -> CountViterbi:
 def count_tokens(docs: DataFrame, model_path: str, *, byte_fallback: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id and n_tokens. No shuffle; a worker holds the automaton and a bounded memo."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_path, byte_fallback).count_column
         for b in batches:

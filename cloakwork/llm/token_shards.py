@@ -1,13 +1,15 @@
 """Token ids in grammar-compressed binary shards with random access.
 
-Encoding. Texts go through the tokenizers library; an end id follows each document. Texts are cut where the vocabulary's
-pre-tokenizer always begins a piece, each distinct chunk is encoded once per worker, and the ids are gathered.
+Encoding. Texts go through the tokenizers library, with its defaults; an end id follows each document. Texts are cut where the vocabulary's
+pre-tokenizer always begins a piece, each distinct chunk is encoded once while the worker remembers it, and the ids are gathered. A text that holds the
+string of an added token, which the library takes out first, goes to it whole, and so does every text where the file's pre-tokenizer isn't one
+that the cuts are known to be right for. With `special_as_text` the strings of special tokens are ordinary text.
 
 Shards. Documents are range-partitioned by id, so shards in (partition, number) order hold ascending ids. Each shard of
 about `shard_tokens` ids is compressed by Re-Pair: in each round the id pairs that occur most often are replaced by new
 symbols (nonterminals), from left to right without overlap, and the next round works on the shorter sequence, until no
-pair occurs `least` times or the symbols of 16 bits are used up. A round replaces all pairs of at least a sixteenth of the top
-count at once.
+pair occurs `least` times, the symbols of 16 bits are used up, or `rounds` rounds are over. A round replaces all pairs of at least a
+sixteenth of the top count at once. Ids are 16 bits wide; a tokenizer with more is refused.
 
 Format of a shard (little-endian): magic `RPT1`; u32 documents, u64 ids, u32 rules, u32 symbols, u32 first nonterminal;
 i64 doc ids; u8 flags (1: the id is null); u64 offsets of the documents (documents + 1); u16 pairs of the rules; u32 expansion
@@ -17,11 +19,12 @@ within the partition, least and greatest doc id, blob) in the shared folder, wri
 costs a retry, never half a file.
 
 Defined results: null and empty texts hold the end id alone; rows with equal or null doc ids all stay (null first; ties by the text's
-hash). An empty table gives no shard.
+hash, equal rows in any order); other columns are left out. An empty table gives no shard.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,11 +32,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkStore, blocks, gathered, pretoken_cuts
+from .chunks import CUT_PATTERNS, ChunkStore, blocks, gathered, pretoken_cuts
+from .common import released, small_batches
 
 MAGIC, HEAD = b"RPT1", struct.Struct("<4sIQIII")
 SYMBOLS, CHUNKS = 1 << 16, 1_390_000
@@ -43,19 +48,38 @@ SHARD_SCHEMA = "part int, shard int, start_in_part long, n_docs int, n_tokens lo
 class ChunkEncoder:
     """Encodes by the library, each distinct chunk once while it is remembered."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        #: Strings that the library takes out of a text before anything else; a text that holds one goes to it whole.
+        self.taken_out = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.cuts = pretoken_cuts if _pattern_of(tokenizer_path) in CUT_PATTERNS else None
         self.store = ChunkStore(self._solve, np.uint32, CHUNKS)
 
     def _solve(self, chunks: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
+    def encode_column(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, rows, ids, number of ids of each text) of consecutive slices; an end id closes each text. Null is empty."""
+        column = column.fill_null("")
+        whole = np.full(len(column), self.cuts is None)
+        for t in self.taken_out:
+            whole |= np.asarray(pc.match_substring(column, t))
+        edge = np.flatnonzero(np.concatenate([[True], whole[1:] | whole[:-1], [True]])) if len(column) else np.zeros(1, np.int64)
+        for at, to in zip(edge.tolist(), edge.tolist()[1:], strict=False):
+            if whole[at]:
+                ids = [*self.tokenizer.encode(column[at].as_py(), add_special_tokens=False).ids, end_id]
+                yield at, 1, np.array(ids, np.uint32), np.array([len(ids)])
+            else:
+                for lo, n, data, offsets in blocks(column.slice(at, to - at)):
+                    yield at + lo, n, *self.encode(data, offsets, end_id)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text with its end id."""
-        starts, ends = pretoken_cuts(data, offsets)
+        """All ids, and the number of each text with its end id, of texts without a string that is taken out."""
+        starts, ends = self.cuts(data, offsets)
         blank = ends - starts == 1
         blank[blank] = np.isin(data[starts[blank]], _BLANK)
         spaced = data[starts] == 32  # white space is dropped: a chunk is the same with and without the space before it
@@ -65,11 +89,23 @@ class ChunkEncoder:
         return np.insert(ids, ends, end_id), np.diff(ends, prepend=0) + 1
 
 
+def _pattern_of(tokenizer_path: str) -> str | None:
+    """The one pattern that a tokenizer file cuts texts by, None if it cuts in another way."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        how = json.load(f).get("pre_tokenizer") or {}
+    steps = how.get("pretokenizers", [how])
+    patterns = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split"]
+    plain = all(s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed" or s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in steps)
+    return patterns[0] if plain and len(patterns) == 1 else None
+
+
 _BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint8)
 
 
 def compress(ids: np.ndarray, base: int, least: int = 8, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair: rules as pairs of symbols, and the sequence that is left."""
+    """Re-Pair: rules as pairs of symbols, and the sequence that is left. `rounds` bounds the effort, as a level does; it changes the size, never the ids."""
+    if not 0 < base < SYMBOLS or len(ids) and int(ids.max()) >= base:
+        raise ValueError("ids must lie below base, and base below 65536")
     seq, rules, n_rules = ids.astype(np.uint16), [], 0
     multiplier, bits = np.uint32(2654435769), np.uint32(14)
     for _ in range(rounds):
@@ -190,15 +226,21 @@ class Shard:
 
 
 @lru_cache(2)
-def chunk_encoder(tokenizer_path: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer_path)
+def chunk_encoder(tokenizer_path: str, special_as_text: bool = False) -> ChunkEncoder:
+    return ChunkEncoder(tokenizer_path, special_as_text)
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, base: int = 49408, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes docs and writes their shards to path. base: an id above all of the tokenizer's, at most 65535."""
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, base: int | None = None, special_as_text: bool = False, shard_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encodes docs and writes their shards to path. base: the first nonterminal, above all ids (the next one, if not given) and below 65536."""
+    highest = max(end_id, chunk_encoder(tokenizer_path, special_as_text).highest)
+    base = highest + 1 if base is None else base
+    if not highest < base < SYMBOLS:
+        raise ValueError(f"ids up to {highest} don't fit below the first nonterminal {base} in 16 bits")
+    small_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard, start = chunk_encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, shard, start = chunk_encoder(tokenizer_path, special_as_text), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -213,8 +255,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [x.split()[0] for x in SHARD_SCHEMA.split(", ")])
 
         for b in batches:
-            for lo, n, data, offsets in blocks(b.column(1)):
-                ids, sizes = encoder.encode(data, offsets, end_id)
+            for lo, n, ids, sizes in encoder.encode_column(b.column(1), end_id):
                 held.append((b.column(0).slice(lo, n).to_pylist(), sizes, ids))
                 if sum(len(x[2]) for x in held) >= shard_tokens:
                     yield flush()
@@ -236,6 +277,7 @@ def read_documents(spark: SparkSession, path: str, *, ids: bool = True, id_col:
     for r in sorted(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
         base[r["part"]], total = total, total + r["n"]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, start, blob in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
@@ -254,6 +296,7 @@ def read_some(spark: SparkSession, path: str, doc_ids: list[int], *, id_col: str
     """Random access: the ids of the documents asked for. Only shards whose id range can hold one are read, and only the symbols that cover it are expanded."""
     wanted = sorted(set(doc_ids))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0).to_pylist():

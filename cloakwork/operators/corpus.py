@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.grammar import TEMPLATES
 from ..sources.storage import spread, stored
 from .ledger import find_tokens, host_tokens
 from .redact import Policy, _standalone, redact_text
@@ -29,7 +31,7 @@ CATEGORIES = "part int, category string, n long"
 
 
 def _own_tokens(docs: DataFrame, policy: Policy, id_col: str, order_col: str, text_col: str) -> DataFrame:
-    """(id, ord, text, born, held): text with the document's own tokens; born: seq, category, key, original, token; held: foreign tokens."""
+    """(id, ord, text, born, held): text with the document's own tokens; born: seq, category, key, original, token; held: category and number of its foreign tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -39,7 +41,7 @@ def _own_tokens(docs: DataFrame, policy: Policy, id_col: str, order_col: str, te
                     texts.append(None), born.append([]), held.append([])
                     continue
                 ledger = policy.ledger()
-                held.append(sorted({m[0] for m in find_tokens(t)}))
+                held.append([{"category": c, "n": n} for c, n in sorted({x for m in find_tokens(t) for x in numbers_of(m[0])})])
                 text, log = redact_text(t, policy, ledger)
                 first: dict[str, str] = {}
                 for _, o, token in log:
@@ -48,73 +50,75 @@ def _own_tokens(docs: DataFrame, policy: Policy, id_col: str, order_col: str, te
                 texts.append(text)
                 born.append([{"seq": i, "category": c, "key": k, "original": first.get(token, originals.get(token, k)), "token": token} for i, (c, token, k) in enumerate(ledger.born)])
             kind = pa.list_(pa.struct([("seq", pa.int32()), ("category", pa.string()), ("key", pa.string()), ("original", pa.string()), ("token", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(born, kind), pa.array(held, pa.list_(pa.string()))], ["id", "ord", "text", "born", "held"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(born, kind), pa.array(held, pa.list_(pa.struct([("category", pa.string()), ("n", pa.int64())])))], ["id", "ord", "text", "born", "held"])
 
     d = spread(docs.select(F.col(id_col).alias("id"), F.col(order_col).cast("long").alias("ord"), F.col(text_col).alias("text")))
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ord long, text string, born array<struct<seq:int,category:string,key:string,original:string,token:string>>, held array<string>")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, ord long, text string, born array<struct<seq:int,category:string,key:string,original:string,token:string>>, held array<struct<category:string,n:bigint>>")
 
 
-def numbered(rows: DataFrame, by: str, order: list[str], name: str = "n", passed: dict[str, list[int]] | None = None) -> DataFrame:
-    """rows with a number from 1 within each value of `by`, in the given order: range partitions and prefix sums instead of one task per value."""
+_HEADS = [(c, t.split("{")[0]) for c, t in sorted(TEMPLATES.items()) if "{" in t]
+
+
+def numbers_of(token: str) -> list[tuple[str, int]]:
+    """(category, number) of each category whose own tokens could be spelt like this one."""
+    if m := host_tokens.fullmatch(token):
+        return [("hostname", int(m["a"] or m["b"]))]
+    return [(c, int(n[0])) for c, head in _HEADS if token.startswith(head) and (n := re.match(r"\d+", token[len(head) :])) and len(n[0]) < 19]
+
+
+def numbered(rows: DataFrame, by: str, order: list[str], name: str = "n", counted: str | None = None) -> DataFrame:
+    """rows with a number from 1 within each value of `by`, in the given order: range partitions and prefix sums instead of one task per value.
+
+    With `counted`, a condition, the number is that of the rows so far for which it holds. The driver sees one number per partition and value of `by`.
+    """
     spark = rows.sparkSession
+    rows = rows.withColumn("__one", F.lit(1) if counted is None else F.expr(counted).cast("int"))
     schema = rows.schema
-    at = rows.columns.index(by)
+    at, one = rows.columns.index(by), len(schema.names) - 1
     sorted_rows = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
             numbers = []
-            for v in b.column(at).to_pylist():
-                seen[v] = seen.get(v, 0) + 1
+            for v, more in zip(b.column(at).to_pylist(), b.column(one).to_pylist(), strict=True):
+                seen[v] = seen.get(v, 0) + more
                 numbers.append(seen[v])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(numbers, pa.int64())], [*schema.names, "__part", "__n"])
 
-    from pyspark.sql import types as T
-
     first = stored(sorted_rows.mapInArrow(local, T.StructType([*schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__n", T.LongType())])), "numbered")
     shift: dict[str, int] = {}
     base = []
     for r in sorted(first.groupBy("__part", by).agg(F.max("__n").alias("m")).collect(), key=lambda r: r["__part"]):
         base.append((r["__part"], r[by], shift.get(r[by], 0)))
         shift[r[by]] = shift.get(r[by], 0) + r["m"]
-    offsets = spark.createDataFrame(base, f"p int, c {schema[by].dataType.simpleString()}, shift long") if base else spark.createDataFrame([], f"p int, c {schema[by].dataType.simpleString()}, shift long")
+    offsets = spark.createDataFrame(base, f"p int, c {schema[by].dataType.simpleString()}, shift long")
     joined = first.join(F.broadcast(offsets), (F.col("__part") == F.col("p")) & (F.col(by) == F.col("c")))  # a row per partition and category
-    number = F.col("__n") + F.col("shift")
-    for category, used in (passed or {}).items():
-        for u in sorted(used):  # each taken number moves those from it on by one
-            number = F.when((F.col(by) == category) & (number >= u), number + 1).otherwise(number)
-    return joined.select(*schema.names, number.alias(name))
+    return joined.select(*schema.names[:-1], (F.col("__n") + F.col("shift")).alias(name))
 
 
-_FAMILY = re.compile(r"\[?([A-Z][A-Z0-9_]*?)(?:_REDACTED)?_\d+")
+def around_taken(ordinals: DataFrame, taken: DataFrame) -> DataFrame:
+    """ordinals (key, category, n, ...) with n as the n-th number of its category that `taken` (category, n; distinct) doesn't hold.
 
-
-def _foreign(own: DataFrame) -> dict[str, list[int]]:
-    """Numbers of tokens that texts already hold, by category; few in practice, their number is checked."""
-    held = own.select(F.explode("held").alias("t")).distinct().limit(100_001).collect()
-    if len(held) > 100_000:
-        raise ValueError("the corpus already holds over 100,000 distinct tokens; restore or rename them first")
-    from ..functions.grammar import TEMPLATES
-
-    family = {c: (t.split("{")[0], t) for c, t in TEMPLATES.items()}
-    found: dict[str, list[int]] = {}
-    for r in held:
-        m = host_tokens.fullmatch(r["t"])
-        if m:
-            found.setdefault("hostname", []).append(int(m["a"] or m["b"]))
-            continue
-        for c, (head, _) in family.items():
-            if r["t"].startswith(head) and (n := re.match(r"\d+", r["t"][len(head) :])):
-                found.setdefault(c, []).append(int(n[0]))
-    return {c: sorted(set(n)) for c, n in found.items()}
+    Below the i-th taken number t lie t - i free ones, so it moves each n above t - i on by one: how many do is a running count over both, in order.
+    """
+    free = numbered(taken, "category", ["n"], "i").select("category", (F.col("n") - F.col("i")).alias("place"))
+    columns = [c for c in ordinals.columns if c not in ("category", "n")]
+    both = ordinals.select("category", F.col("n").alias("place"), F.lit(0).alias("kind"), F.struct(*columns).alias("row"))
+    both = both.unionByName(free.select("category", "place", F.lit(1).alias("kind")), allowMissingColumns=True)
+    moved = numbered(both, "category", ["place", "kind"], "before", "kind = 1").filter("kind = 0")
+    return moved.select("row.*", "category", (F.col("place") + F.col("before")).alias("n"))
 
 
 def dictionary(own: DataFrame) -> DataFrame:
     """(key, category, ordinal, placeholder, original) of all identities of the corpus."""
     born = own.select("ord", F.explode("born").alias("b")).select("ord", "b.*")
     first = born.groupBy("key").agg(F.min(F.struct("ord", "seq", "category", "original", "token")).alias("f")).select("key", F.col("f.category").alias("category"), F.col("f.ord").alias("ord"), F.col("f.seq").alias("seq"), F.col("f.original").alias("original"), F.col("f.token").alias("token"))
-    out = numbered(first, "category", ["ord", "seq"], "ordinal", _foreign(own))
+    out = numbered(first, "category", ["ord", "seq"])
+    taken = stored(own.select(F.explode("held").alias("h")).select("h.*").distinct(), "taken")
+    if not taken.isEmpty():
+        out = around_taken(out, taken)
+    out = out.withColumnRenamed("n", "ordinal")
     return out.select("key", "category", "ordinal", token_with("token", "ordinal").alias("placeholder"), "original")
 
 
@@ -185,12 +189,21 @@ def _with_number(token: str, n: int) -> str:
     return _NUMBER.sub(f"_{n:0{width}d}", token, count=1)
 
 
+#: Bytes of names up to which they are sent to all tasks; more are joined by a shuffle of both sides.
+NAMES_BYTES = 16 << 20
+
+
 def _everywhere(shown: DataFrame, words: DataFrame) -> DataFrame:
-    """Names of the dictionary that still stand bare in some document are replaced there too: the texts' words are joined with the names."""
+    """Names of the dictionary that still stand bare in some document are replaced there too: the texts' words are joined with the names.
+
+    As long as the names are few, words that are none of them leave before any shuffle.
+    """
     names = words.filter("category in ('hostname', 'ad_domain_user', 'domain') and length(key) between 4 and 80").filter(F.col("key").rlike(r"^[a-zA-Z0-9._$-]+$"))
-    names = names.groupBy(F.lower("key").alias("w")).agg(F.min(F.struct("key", "placeholder")).alias("hit"))
+    names = stored(names.groupBy(F.lower("key").alias("w")).agg(F.min(F.struct("key", "placeholder")).alias("hit")), "names")
+    size = names.agg(F.sum(F.octet_length("w") + F.octet_length("hit.key") + F.octet_length("hit.placeholder") + 64)).first()[0] or 0
     found = shown.select("id", F.explode(F.array_distinct(F.flatten(F.array(F.regexp_extract_all(F.lower("redacted"), F.lit(r"[a-z0-9._$-]{4,80}"), F.lit(0)), F.regexp_extract_all(F.lower("redacted"), F.lit(r"[a-z0-9_$-]{4,80}"), F.lit(0)))))).alias("word"))
-    hits = found.join(names, F.rtrim(F.col("word"), F.lit(".")) == F.col("w")).groupBy("id").agg(F.collect_set("hit").alias("hits")).select(F.col("id").alias("i"), "hits")
+    found = found.join(F.broadcast(names) if size <= NAMES_BYTES else names.hint("merge"), F.rtrim(F.col("word"), F.lit(".")) == F.col("w"))
+    hits = found.groupBy("id").agg(F.collect_set("hit").alias("hits")).select(F.col("id").alias("i"), "hits")
     joined = shown.join(hits, shown["id"].eqNullSafe(F.col("i")), "left").select("id", "redacted", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,38 +84,34 @@ def redact_values(text: str, policy: Policy, ledger: Ledger, selected: dict[str,
 # --- passes after the rules ------------------------------------------------------------------------------------------
 
 
-def _word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+@lru_cache(256)
+def _names(keys: tuple[str, ...], dot_may_precede: bool) -> re.Pattern:
+    """One of the keys standing alone, the longest at each place. Keys with the same first letters stand together, so few are tried at a place."""
+    heads: dict[str, list[str]] = {}
+    for k in sorted(keys, key=len, reverse=True):
+        heads.setdefault(k[:2], []).append(re.escape(k[2:]))
+    each = "|".join(f"{re.escape(head)}(?:{'|'.join(rest)})" for head, rest in heads.items())
+    return re.compile(f"(?<![{'' if dot_may_precede else '.'}\\w])(?:{each})(?![.\\w])")
 
 
 def _standalone(text: str, values: dict[str, tuple[str, str]], dot_may_precede: bool, log: Applied) -> str:
-    """Replaces values that stand alone, the longest at each place, by looking up what lies between word bounds."""
+    """Replaces values, given in lower case, that stand alone, the longest at each place."""
     if not values:
         return text
-    lower, longest = text.lower(), max(map(len, values))
+    lower = text.lower()
     if len(lower) != len(text):  # a letter whose lower case is longer: fall back to the places of the text itself
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    starts = {k[0] for k in values}
-    out, place, i, n = [], 0, 0, len(text)
-    while i < n:
-        before = text[i - 1] if i else " "
-        if lower[i] in starts and not _word(before) and (dot_may_precede or before != "."):
-            for j in range(min(n, i + longest), i + 3, -1):
-                if (j == n or not (_word(text[j]) or text[j] == ".")) and (hit := values.get(lower[i:j])):
-                    token, category = hit[1], "domain"
-                    if token.startswith(("[HOST_", "HOST_")):
-                        category = "hostname"
-                    elif token.startswith("DOMAIN_USER_"):
-                        category = "ad_domain_user"
-                    log.append((category, hit[0], token))
-                    out += [text[place:i], token]
-                    place = i = j
-                    break
-            else:
-                i += 1
-                continue
-            continue
-        i += 1
+    out, place = [], 0
+    for m in _names(tuple(sorted(values)), dot_may_precede).finditer(lower):
+        original, token = values[m[0]]
+        category = "domain"
+        if token.startswith(("[HOST_", "HOST_")):
+            category = "hostname"
+        elif token.startswith("DOMAIN_USER_"):
+            category = "ad_domain_user"
+        log.append((category, original, token))
+        out += [text[place : m.start()], token]
+        place = m.end()
     return "".join(out) + text[place:] if out else text
 
 

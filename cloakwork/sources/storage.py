@@ -11,35 +11,58 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a session without it (tests) gets a folder of its own."""
+    """spark.checkpoint.dir of the session; a local session without it (tests) gets a folder of its own, on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return os.path.dirname(held.get().rstrip("/"))
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="cloakwork-")
     spark.sparkContext.setCheckpointDir(own)
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_BYTES, whatever the rows' lengths, unless the session asks for smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """The rows, written as Parquet in the shared folder and read again."""
+    spark = df.sparkSession
+    small_batches(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes for each core up to which a table is dealt out anew before it is worked on.
+SMALL_BYTES = 24 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals out a scan that comes in fewer partitions than there are cores, so that a small table of one row group still uses all of them.
+    """Deals the rows of a small scan out over all cores: few row groups, or one, would keep a few tasks busy and leave the others empty.
 
-    Tables that are cut into enough partitions, and anything that has a shuffle of its own, stay as they are.
+    Small is what the plan says of its size, at most SMALL_BYTES for each core, so what is shuffled is bounded; a larger table has row groups enough.
+    Whatever has a shuffle of its own stays as it is.
     """
     if df.isStreaming:
         return df
-    plan = df._jdf.queryExecution()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan.executedPlan().toString().startswith("AdaptiveSparkPlan") or plan.toRdd().getNumPartitions() >= cores:
+    small_batches(df.sparkSession)
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SMALL_BYTES or plan.executedPlan().toString().startswith("AdaptiveSparkPlan"):
         return df
-    return df.repartition(cores)
+    return df.repartition(2 * cores)

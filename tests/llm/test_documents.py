@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.llm import components, decontaminate, jaccard, language, main_text, quality
+from cloakwork.llm import chunks, components, decontaminate, jaccard, language, main_text, quality
 from cloakwork.llm.common import words
 from cloakwork.llm.queries import ORACLE_SQL, fold, op3_decontaminate, op8_quality, op9_language
 
@@ -170,34 +170,6 @@ def test_op8_query(spark):
     assert np.mean([got[r.doc_id].predicted == r.quality for r in labels]) > 0.95
 
 
-def test_kneser_ney_sums_to_one():
-    m = language.KneserNey.fit({"a": {b"abc": 3, b"abd": 2, b"b": 5}, "b": {b"xyz": 1, b"zy": 4}}, order=3)
-    # after a history in one language, the characters known anywhere and one for all others share all the mass
-    for prefix in (b"", b"a", b"ab"):
-        total = 0.0
-        for c in [b"a", b"b", b"c", b"d", None]:
-            w = prefix + (c or b"")
-            n = len(prefix) + 1
-            points, word = language._characters([w])
-            loss = _char_losses(m, w)[n - 1 if c else len(prefix)]
-            total += np.exp(-loss[0])
-        # 4 letters and the end of the word share it with one unknown character's floor
-        assert total == pytest.approx(1.0, abs=0.2) and total <= 1.0 + 1e-6
-
-
-def _char_losses(m, w):
-    """Losses of each character by differences of the sums of prefixes, as the model states them for whole words."""
-    points, word = language._characters([w])
-    p = np.broadcast_to(m.floor, (len(points), len(m.languages))).copy()
-    history = np.zeros(len(points), np.uint64)
-    for n, (h, inside) in enumerate(language._grams(points, word, m.order), 1):
-        at = np.flatnonzero(inside)
-        p[at] = m._find(m.grams[n - 1], h[at], 0.0) + m._find(m.contexts[n - 1], history[at], 1.0) * p[at]
-        history = np.zeros(len(points), np.uint64)
-        history[1:] = h[:-1]
-    return -np.log(p[1:])
-
-
 def test_op9_query(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
@@ -309,3 +281,208 @@ def test_components(spark):
 def test_folds(spark):
     got = spark.range(50).select("id", fold("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+# words that share a hash --------------------------------------------------------------------------------------------
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+#: Two words that a polynomial hash modulo 2**64 can't tell apart, whatever its base.
+ALIKE = [(thue_morse(n), thue_morse(n, "ba")) for n in (1024, 2048)]
+
+
+@pytest.fixture(params=["hashes", "one hash for all"])
+def hashing(request, monkeypatch):
+    """Results must not depend on hashes: they are the same if all chunks of more than SHORT bytes collide."""
+    if request.param != "hashes":
+        monkeypatch.setattr(chunks, "long_hashes", lambda data, starts, ends, words: np.full(len(starts), 7 << 9, np.uint64))
+    return request.param
+
+
+def test_decontamination_of_colliding_words(hashing):
+    for a, b in ALIKE:
+        item = f"one two three {a} four five six seven eight nine ten"
+        texts = [item, item.replace(a, b), f"x {item} {b}", "antidisestablishment " + item[:60]]
+        tests = decontaminate.TestItems([(1, item), (2, f"{b} antidisestablishmenu")])
+        (_, _, data, offsets), = chunks.blocks(pa.array(texts))
+        shard = decontaminate.Shard(data, offsets)
+        docs, found = shard.mark(tests)
+        assert sorted(zip(docs.tolist(), found.tolist(), strict=True)) == [(0, 0), (2, 0)]
+        assert shard.hit.tolist() == [True] * 11 + [False] * 11 + [False] + [True] * 11 + [False] + [False] * int(shard.n_words[3])
+
+
+def test_features_of_colliding_words(hashing):
+    (a, b), (c, d) = ALIKE
+    texts = [f"{a} {b} {a} {a}\n{c}\n{d}\n{c}", f"{a} {a}\n{b} {b}", "x"]
+    f = quality.features(pa.array(texts))
+    names = quality.FEATURES
+    for row, t in zip(f, texts, strict=True):
+        w, lines = t.split(), t.split("\n")
+        assert row[names.index("distinct_word_share")] == pytest.approx(len(set(w)) / len(w)) and row[names.index("distinct_line_share")] == pytest.approx(len(set(lines)) / len(lines))
+        assert row[names.index("adjacent_word_repeat")] == pytest.approx(sum(x == y for x, y in itertools.pairwise(w)) / len(w))
+
+
+def test_losses_of_colliding_words(hashing):
+    m = language.KneserNey.fit({"a": {b"ababbaab": 5, b"aab": 2}, "b": {b"baababba": 5, b"bba": 3}})
+    texts = [x for pair in ALIKE for x in pair] + ["ababbaabab baababbaba ababbaabab"]
+    got = language.Scorer(m, 3.0).score(pa.array(texts))[2]
+    for t, e in zip(texts, got, strict=True):
+        each = m.losses([w.encode() for w in t.split()]).sum(0)
+        assert e == pytest.approx(min(each[1:] / each[0]), rel=1e-5)
+
+
+def test_exact_sets_by_definition(hashing):
+    (a, b), _ = ALIKE
+    texts = [f"{a} x y z w v", f"{b} x y z w v", f"x y z w v {a} {b}", "x y", "x y z w v", f"{a} {b} " * 5, "antidisestablishment x y z w", "antidisestablishmenu x y z w"]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    got = [set(x.tolist()) for x in jaccard.exact_sets([t.strip().encode() for t in texts], 5)]
+    for i, j in itertools.product(range(len(texts)), repeat=2):
+        assert len(got[i] & got[j]) == (len(want[i] & want[j]) if i == j or min(len(texts[k].split()) for k in (i, j)) >= 5 else 0), (i, j)
+
+
+def test_colliding_words_in_queries(spark):
+    """The same through Spark, in all operators of whole texts."""
+    (a, b), (c, d) = ALIKE
+    tail = " ".join(VOCABULARY[:12])
+    docs = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{c} {b} u v w x y z"), (4, f"{d} {b} u v w x y z"), (5, f"{c} {b} u v w x y z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.similar_documents(df).collect()) == brute_classes(docs)
+    items = spark.createDataFrame([(1, f"{a} {c}"), (2, f"{d} {b} u v")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.contamination(df, items).filter("contaminated").collect()) == [4]
+
+
+# long texts and repeated rows ---------------------------------------------------------------------------------------
+
+
+def test_long_texts_and_repeated_rows(spark):
+    """A text of 200,000 words, equal rows and null ids, through operators 3, 8, 9 and 10."""
+    long = " ".join(f"word{i % 5000}x{i % 7}" for i in range(200_000))
+    rows = [(1, long, "en"), (1, long, "en"), (2, long + " end", "en"), (None, "a short text of some seven words", "en"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    items = spark.createDataFrame([(7, " ".join(long.split()[150_000:150_030]))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.contamination(df, items).collect()}
+    assert found[1].contaminated and found[1].n_words == 200_000 and found[2].n_hit == found[1].n_hit and not found[None].contaminated
+    got = sorted(map(repr, map(tuple, jaccard.similar_documents(df).collect())))
+    assert got == sorted(map(repr, [(1, 1, 2), (1, 1, 2), (2, 1, 2), (None, None, 0), (None, None, 0)]))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (1, 1, 0)], "doc_id long, quality int, score int")
+    model = quality.fit(df, labels, F.col("doc_id") > 0)
+    scored = quality.score(df.withColumn("score", F.lit("x")), model)
+    assert scored.columns == ["doc_id", "score"] and scored.count() == 5 and scored.filter("score between 0 and 1").count() == 5
+    assert quality.accepted(df, model, 0.0).count() == 5 and quality.score(df.limit(0), model).count() == 0 and quality.accepted(df.limit(0), model).count() == 0
+    spoken = language.fit(df, F.col("k") >= 0)
+    assert language.identify(df, spoken).count() == 5 and language.identify(df.limit(0), spoken).count() == 0 and language.accepted(df.limit(0), spoken).count() == 0
+
+
+def test_main_text_of_a_long_page(spark):
+    body = "".join(f"<p>Paragraph {i} of a long page.</p>" + "<aside>buy this</aside>" * (i % 5) for i in range(20_000))
+    pages = spark.createDataFrame([(1, "u", f"<nav>x</nav><article>{body}</article>"), (1, "u", f"<nav>x</nav><article>{body}</article>")], "page_id long, url string, html string")
+    got = main_text.extract(pages).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].text == "\n".join(f"Paragraph {i} of a long page." for i in range(20_000))
+
+
+def brute_spans(length, window, surge):
+    """Surge: a line with text that no stretch holds yet and whose window has enough; dive: the first line whose window has nothing."""
+    out, i = [], 0
+    while i < len(length):
+        if length[i] and sum(length[i : i + window]) >= surge:
+            j = i
+            while j < len(length) and sum(length[j : j + window]) > 0:
+                j += 1
+            out.append((i, j))
+            i = j
+        else:
+            i += 1
+    return out
+
+
+def test_spans_by_definition():
+    for _ in range(500):
+        length = [rnd.choice([0, 0, 0, 3, 20, 60]) for _ in range(rnd.randint(0, 25))]
+        window, surge = rnd.randint(1, 4), rnd.choice([1, 25, 40])
+        got = [(a, max(k for k in range(a, b) if length[k])) for a, b in main_text.spans(length, window, surge)]
+        assert got == [(a, max(k for k in range(a, b) if length[k])) for a, b in brute_spans(length, window, surge)], (length, window, surge)
+
+
+def test_pages_without_a_marked_article(spark, sf):
+    """The block path alone gives the same texts."""
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert main_text.main_text(r.html.replace("<article", "<div").replace("</article", "</div")) == main_text.main_text(r.html)
+
+
+# language models ----------------------------------------------------------------------------------------------------
+
+
+def brute_kneser_ney(counts, order, context, char):
+    """Interpolated Kneser-Ney by its definition over strings, for one language. Words lie between boundaries; counts are of words."""
+    edge = chr(language.BOUNDARY)
+    texts = [(edge + w.decode() + edge, c) for w, c in counts.items()]
+    characters = {c for t, _ in texts for c in t}
+
+    def grams(n):
+        out = {}
+        for t, c in texts:
+            for i in range(1, len(t)):
+                if i + 1 >= n:
+                    g = t[i + 1 - n : i + 1]
+                    begins = i + 1 == n  # nothing to its left
+                    out.setdefault(g, [0, set()])
+                    if n == order or begins:
+                        out[g][0] += c
+                    elif i + 1 > n:
+                        out[g][1].add(t[i - n])
+        return {g: x + len(left) for g, (x, left) in out.items()}
+
+    p = 1 / (len(characters) + 1)
+    for n in range(1, min(order, len(context) + 1) + 1):
+        table = grams(n)
+        ones, twos = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        history = context[len(context) - n + 1 :]
+        own = {g: v for g, v in table.items() if g[:-1] == history}
+        if own:
+            total = sum(own.values())
+            p = max(own.get(history + char, 0) - d, 0) / total + min(1.0, d * len(own) / total) * p
+    return p
+
+
+def test_kneser_ney_by_definition():
+    counts = {"a": {b"abc": 3, b"abd": 2, b"b": 5, b"cab": 1}, "b": {b"xyz": 1, b"zy": 4, b"abx": 2}}
+    m = language.KneserNey.fit(counts, order=3)
+    edge = chr(language.BOUNDARY)
+    for w in (b"abc", b"abx", b"zz", b"q", b"cabd", b"b"):
+        text = edge + w.decode() + edge
+        for j, lang in enumerate(m.languages):
+            want = [-np.log(brute_kneser_ney(counts[lang], 3, text[max(0, i - 2) : i], text[i])) for i in range(1, len(text))]
+            assert m.losses([w])[0, 1 + j] == pytest.approx(sum(want), rel=1e-5), (w, lang)
+
+
+def test_kneser_ney_shares_out_all_mass():
+    counts = {"a": {b"abc": 3, b"abd": 2, b"b": 5}, "b": {b"xyz": 1, b"zy": 4}}
+    for lang, own in counts.items():
+        seen = sorted({c for w in own for c in w.decode()} | {chr(language.BOUNDARY)})
+        for context in ("", chr(language.BOUNDARY), "a", "ab", "zy"):
+            total = sum(brute_kneser_ney(own, 3, context[-2:], c) for c in [*seen, "?"])  # one place for all unknown characters
+            assert total == pytest.approx(1.0, abs=1e-9), (lang, context)
+
+
+FOREIGN = [
+    "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес", "素早い茶色の狐がのろまな犬を飛び越えて森へ走って行きました", "A gyors barna róka átugorja a lusta kutyát és elfut az erdőbe a barátaival",
+    "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään ystäviensä kanssa", "Szybki brązowy lis przeskakuje nad leniwym psem i ucieka do lasu",
+]
+
+
+def test_rejection_has_both_rates(spark):
+    """Planted rows in languages that were not learnt, and junk, are rejected; rows of the learnt ones stay, short and long."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    r = random.Random(4)
+    junk = ["".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) + " " + " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz0123456789+/") for _ in range(r.randint(4, 16))) for _ in range(40)) for _ in range(30)]
+    planted = [(10**9 + i, t, None) for i, t in enumerate([(x + ". ") * 6 for x in FOREIGN] + junk)]
+    both = docs.union(spark.createDataFrame(planted, docs.schema))
+    kept = {x.doc_id for x in language.accepted(both, language.fit(both, fold("k", 3) != 1)).select("doc_id").collect()}
+    rejected = sum(i not in kept for i, *_ in planted) / len(planted)
+    learnt = [x.doc_id for x in docs.filter("lang is not null and text rlike '[a-zA-Z]'").select("doc_id").collect()]
+    assert rejected >= 0.9 and sum(i in kept for i in learnt) / len(learnt) >= 0.99

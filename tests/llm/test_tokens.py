@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -13,13 +14,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cloakwork.llm import byte_bpe, token_count, token_shards
-from cloakwork.llm.chunks import blocks, gathered, hashes, runs
+from cloakwork.llm import byte_bpe, chunks, token_count, token_shards
+from cloakwork.llm.chunks import gathered, hashes, runs
 from cloakwork.llm.common import fresh_path
 from cloakwork.llm.queries import BYTE_BPE, PIECES, WORD_BPE, pattern, vocabulary
 
-ODD = [None, "", " ", "  ", "x", " x", "x ", "a  b", "\n", "a\n\nb", "'s it's", "<|endoftext|>", "ΟΔΥΣΣΕΥΣ ΣΑΣ", "a ́b", "日本語テキスト", "😀😀 x", "\x00\x01", "▁▁a ▁", "aaaa" * 2000, "é à ñ", "x y", "1234567 89"]
-TEXT = st.text(st.sampled_from(" \n\t\r  aAbBé中😀1'st!~<|>ΣÅ　\x1c\x85▁."), max_size=24)
+ODD = [None, "", " ", "  ", "x", " x", "x ", "a  b", "\n", "a\n\nb", "'s it's", "<|endoftext|>", "hello <|endoftext|> world <|startoftext|>", "x<|ENDOFTEXT|>y", "ΟΔΥΣΣΕΥΣ ΣΑΣ", "a ́b", "日本語テキスト", "😀😀 x", "\x00\x01", "▁▁a ▁", "aaaa" * 2000, "é à ñ", "x y", "1234567 89"]
+TEXT = st.lists(st.sampled_from([*" \n\t\r  aAbBé中😀1'st!~<|>ΣÅ　\x1c\x85▁.", "<|endoftext|>", "<|startoftext|>"]), max_size=24).map("".join)
 
 
 @pytest.fixture(scope="session")
@@ -35,9 +36,7 @@ def library():
 def words_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(WORD_BPE))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(WORD_BPE))
 
 
 @pytest.fixture(scope="session")
@@ -135,8 +134,8 @@ def test_op1_query(spark, unigram):
 @given(texts=st.lists(TEXT, min_size=1, max_size=6))
 def test_chunk_encoder_equals_library(words_tokenizer, texts):
     e = token_shards.chunk_encoder(vocabulary(WORD_BPE))
-    (_, _, data, offsets), = blocks(pa.array(texts))
-    ids, sizes = e.encode(data, offsets, 1)
+    found = list(e.encode_column(pa.array(texts), 1))
+    ids, sizes = (np.concatenate([x[k] for x in found]) for k in (2, 3))
     want = [x.ids + [1] for x in words_tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
 
@@ -195,3 +194,96 @@ def test_chunk_helpers():
     h = hashes(data, np.array([0, 0, 1]), np.array([1, 2, 2]))
     assert len(set(h.tolist())) == 3 and (h == hashes(np.concatenate([data[:2], data]), np.array([2, 2, 3]), np.array([3, 4, 4]))).all()
     assert gathered(np.arange(10), np.array([7, 0, 3]), np.array([2, 0, 3])).tolist() == [7, 8, 3, 4, 5]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+#: Two words that a polynomial hash modulo 2**64 can't tell apart, whatever its base.
+ALIKE = [(thue_morse(n), thue_morse(n, "ba")) for n in (1024, 2048)]
+
+
+@pytest.fixture(params=["hashes", "one hash for all"])
+def hashing(request, monkeypatch):
+    """Results must not depend on hashes: they are the same if all chunks of more than SHORT bytes collide."""
+    if request.param != "hashes":
+        monkeypatch.setattr(chunks, "long_hashes", lambda data, starts, ends, words: np.full(len(starts), 7 << 9, np.uint64))
+    return request.param
+
+
+COLLIDING = [f"{a} {b} {a[:9]} {b[:9]} antidisestablishment antidisestablishmenu" for a, b in ALIKE] + [b for _, b in ALIKE] + [a for a, _ in ALIKE]
+
+
+def test_keys_of_short_chunks_are_their_own():
+    every = [bytes(x) for n in (1, 2) for x in itertools.product(range(0, 256, 5), repeat=n)] + [b"a" * n for n in range(1, 12)] + [b"\0" * n for n in range(1, 8)]
+    data, ends = np.frombuffer(b"".join(every), np.uint8), np.cumsum([len(x) for x in every])
+    keys = hashes(data, ends - [len(x) for x in every], ends)
+    assert len(set(keys.tolist())) == len(set(every)) and (keys != 0).all()
+
+
+def test_distinct_and_store(hashing):
+    words = [w for t in COLLIDING for w in t.split()] * 3 + ["x"]
+    data, ends = np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    number, first = chunks.distinct(data, starts, ends)
+    assert [words[first[k]] for k in number] == words and len(first) == len(set(words))
+    solved = []
+    store = chunks.ChunkStore(lambda c: solved.extend(c) or [[len(x), x[0]] for x in c], np.int64, 40)
+    for _ in range(2):
+        values, sizes = store.gather(store.codes(data, starts, ends))
+        assert values.reshape(-1, 2).tolist() == [[len(w), ord(w[0])] for w in words]
+    assert sorted(solved) == sorted({w.encode() for w in words})  # each is solved once
+    text = np.repeat([0, 1], [5, len(words) - 5])
+    keys, eights = hashes(data, starts, ends), chunks.words_at(data)
+    assert chunks.distinct_per_text(data, starts, ends, keys, eights, text, 2).tolist() == [len(set(words[:5])), len(set(words[5:]))]
+
+
+def test_colliding_words_in_tokenizers(hashing, library, words_tokenizer, unigram):
+    column = pa.array(COLLIDING)
+    e = byte_bpe.ByteBPE(vocabulary(BYTE_BPE), pattern())
+    for _ in range(2):
+        ids = list(e.encode_column(column))
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode_ordinary(t) for t in COLLIDING]
+        assert [e.decode(x).decode() for x in ids] == COLLIDING
+    found = list(token_shards.ChunkEncoder(vocabulary(WORD_BPE)).encode_column(column, 1))
+    assert np.concatenate([x[2] for x in found]).tolist() == [i for t in COLLIDING for i in [*words_tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+    assert token_count.CountViterbi(token_count.pieces_of(vocabulary(PIECES))).count_column(column).tolist() == [unigram(t) for t in COLLIDING]
+
+
+def test_other_patterns_are_not_cut(library):
+    import tiktoken
+
+    other = r"\S+\s*|\s+"  # pre-tokens that hold the space after them
+    e = byte_bpe.ByteBPE(vocabulary(BYTE_BPE), other)
+    want = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=library._mergeable_ranks, special_tokens={})
+    texts = ["a bc  d.e f", "x", "", "It's so; is it?\n\n no"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_column(pa.array(texts))] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_ids_must_fit(spark):
+    with pytest.raises(ValueError, match="below"):
+        token_shards.compress(np.array([1, 70_000], np.uint32), 50_000)
+    with pytest.raises(ValueError, match="fit"):
+        token_shards.write_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"), fresh_path(spark, "t"), vocabulary(WORD_BPE), base=40_000)
+
+
+def test_special_strings_as_text(words_tokenizer):
+    """Asked for, the strings of special tokens are ordinary text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(WORD_BPE))
+    t.encode_special_tokens = True
+    texts = ["hello <|endoftext|> world", "<|startoftext|><|endoftext|>", "x"]
+    found = list(token_shards.ChunkEncoder(vocabulary(WORD_BPE), special_as_text=True).encode_column(pa.array(texts), 1))
+    assert np.concatenate([x[2] for x in found]).tolist() == [i for x in texts for i in [*t.encode(x, add_special_tokens=False).ids, 1]]
+
+
+def test_op1_edges(spark, unigram):
+    """Repeated rows, equal and null ids, columns named like the result's, a very long word and text, an empty table."""
+    rows = [(1, "a b", 9), (1, "a b", 9), (None, "c", 0), (2, None, 1), (3, "word " * 40_000, 2), (4, thue_morse(100_000), 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = token_count.count_tokens(docs, vocabulary(PIECES))
+    assert got.columns == ["doc_id", "n_tokens"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i, unigram(t))) for i, t, _ in rows)
+    assert token_count.count_tokens(docs.limit(0), vocabulary(PIECES)).count() == 0

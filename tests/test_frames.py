@@ -261,3 +261,54 @@ def test_contract(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("taken", [[1], [2, 3, 7], list(range(3, 3003, 3))])
+def test_corpus_passes_over_taken_numbers(spark, taken):
+    """Tokens that the corpus holds already keep their numbers, however many there are."""
+    foreign = " ".join(f"[IPV4_REDACTED_{n:04d}]" for n in taken)
+    rows = [(0, f"old {foreign}")] + [(k, f"ip 10.9.{k}.7 and 10.9.{k}.8 HOST_0{k % 3 + 1}.example.internal dc{k}.corp.local") for k in range(1, 9)]
+    shown, words = corpus.redact_corpus(spark.createDataFrame(rows, "doc_id long, text string"))
+    free = [n for n in range(1, 4000) if n not in set(taken)]
+    got = {r.doc_id: r.redacted for r in shown.collect()}
+    assert got[0] == rows[0][1]
+    for k in range(1, 9):
+        a, b = free[2 * k - 2], free[2 * k - 1]
+        assert got[k] == f"ip [IPV4_REDACTED_{a:04d}] and [IPV4_REDACTED_{b:04d}] HOST_0{k % 3 + 1}.example.internal [HOST_REDACTED_{k + 3:04d}]"
+    assert sorted(r.ordinal for r in words.filter("category = 'ipv4'").collect()) == free[:16]
+
+
+def test_standalone_names_by_definition():
+    """The longest name at each place, by trying all of them."""
+    import random
+
+    from cloakwork.operators.redact import _standalone
+
+    r = random.Random(2)
+    pieces = ["dc01", "dc01.corp", "corp", "web-1", "svc$", "DC01", "xdc01", "Web-1.corp", ".", "-", " ", "_", "ß", "İ", "\n", "K"]
+    names = {k: (k.upper(), t) for k, t in (("dc01", "[HOST_REDACTED_0001]"), ("dc01.corp", "[HOST_REDACTED_0002]"), ("corp", "[DOMAIN_REDACTED_0001]"), ("web-1", "HOST_03"), ("svc$", "DOMAIN_USER_01"))}
+
+    def word(c):
+        return c.isalnum() or c == "_"
+
+    def brute(text, dot):
+        lower = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        out, i, hits = [], 0, []
+        while i < len(text):
+            before, end = (text[i - 1] if i else " "), None
+            if not word(before) and (dot or before != "."):
+                end = max((i + len(k) for k in names if lower.startswith(k, i) and (i + len(k) == len(text) or not (word(text[i + len(k)]) or text[i + len(k)] == "."))), default=None)
+            if end is None:
+                out.append(text[i])
+                i += 1
+            else:
+                hits.append(names[lower[i:end]][1])
+                out.append(hits[-1])
+                i = end
+        return "".join(out), hits
+
+    for _ in range(3000):
+        text, log = "".join(r.choice(pieces) for _ in range(r.randint(1, 12))), []
+        for dot in (True, False):
+            log.clear()
+            assert (_standalone(text, names, dot, log), [t for _, _, t in log]) == brute(text, dot), text
