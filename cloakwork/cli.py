@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections import Counter
 from pathlib import Path
 
 from .operators.ledger import Ledger
 from .operators.modes import unified_diff
-from .operators.redact import redact_text
+from .operators.redact import Policy, redact_text
 from .operators.restore import restore_text, unresolved
 from .operators.safety import scan
 from .sources import config as settings
-from .sources import doctor
+from .sources import doctor, flags
 from .sources.files import output_path, write_private
 from .sources.maps import export_map, import_map
 from .sources.sessions import SessionError, Store, audit, audit_record
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="*")
     p.add_argument("-o", "--output")
     p.add_argument("--output-dir")
-    for flag in ("--check", "--dry-run", "--diff", "--restore", "--scan", "--list-rules", "--list-sessions", "--init-config", "--doctor", "--consume", "-v"):
+    for flag in ("--check", "--dry-run", "--diff", "--restore", "--scan", "--list-rules", "--list-sessions", "--forget-all", "--init-config", "--doctor", "--consume", "-v"):
         p.add_argument(flag, action="store_true")
     for flag in ("--config", "--profile", "--targets", "--import-map", "--export-map", "--session", "--save-session", "--session-ttl", "--state-dir", "--audit-log", "--forget-session"):
         p.add_argument(flag)
@@ -47,7 +48,32 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def _given(a: argparse.Namespace) -> set[str]:
+    return {name for name, value in vars(a).items() if value}
+
+
+def _paths(a: argparse.Namespace) -> tuple[list[Path], list[Path]]:
+    """The files that a call reads, and those that it writes."""
+    inputs = [Path(n) for n in a.files if n != "-"]
+    read = inputs + [Path(p) for p in (a.config, a.targets, a.import_map) if p]
+    return read, [Path(p) for p in (a.output, a.export_map, a.audit_log) if p] + (_outputs(inputs, a.output_dir) if a.output_dir else [])
+
+
+def _loaded(a: argparse.Namespace) -> dict:
+    """The settings. Restoring needs none of them, so a broken file doesn't stop it; the audit, which they may forbid, is left out then."""
+    try:
+        return settings.load(a.config) if a.config else {}
+    except settings.ConfigError as e:
+        if not a.restore:
+            raise
+        print(f"warning: {e}; restoring goes on without settings and without an audit record", file=sys.stderr)
+        a.audit_log = None
+        return {}
+
+
 def _run(a: argparse.Namespace) -> int:
+    if wrong := flags.problem(_given(a)) or flags.clash(*_paths(a)):
+        raise ValueError(wrong)
     store = Store(a.state_dir or Path.home() / ".local/state/cloakwork/sessions")
     if a.init_config:
         settings.init(a.config or "cloakwork.toml")
@@ -58,11 +84,16 @@ def _run(a: argparse.Namespace) -> int:
     if a.forget_session:
         store.forget(a.forget_session)
         return 0
+    if a.forget_all:
+        for name in store.names():
+            store.forget(name)
+        return 0
     if a.doctor:
         text, code = doctor.report(doctor.checks(a.config, store.folder))
         print(text)
         return code
-    policy = settings.policy(settings.load(a.config) if a.config else {}, a.profile, _csv(a.enable), _csv(a.disable))
+    config = _loaded(a)
+    policy = Policy() if a.restore else settings.policy(config, a.profile or os.environ.get("CLOAKWORK_PROFILE"), _csv(a.enable), _csv(a.disable))
     extra = [*settings.R.custom_values(_csv(a.redact))]
     if a.targets:
         extra += settings.read_targets(Path(a.targets).read_text(encoding="utf-8"))
@@ -128,10 +159,7 @@ def _run(a: argparse.Namespace) -> int:
 
 def _emit(a: argparse.Namespace, names: list[str], texts: list[str], private: bool = False) -> int:
     if a.output_dir:
-        paths = [Path(n).resolve() for n in names]
-        common = Path(*_common([p.parent.parts for p in paths]))
-        for p, t in zip(paths, texts, strict=True):
-            out = output_path(p, common, Path(a.output_dir))
+        for out, t in zip(_outputs([Path(n) for n in names], a.output_dir), texts, strict=True):
             out.parent.mkdir(parents=True, exist_ok=True)
             write_private(out, t) if private else out.write_text(t, encoding="utf-8")
     elif a.output:
@@ -141,6 +169,13 @@ def _emit(a: argparse.Namespace, names: list[str], texts: list[str], private: bo
     return 0
 
 
+def _outputs(inputs: list[Path], folder: str) -> list[Path]:
+    """Where each input's output goes: below the folder as the inputs lie below the parent that they share."""
+    paths = [p.resolve() for p in inputs]
+    common = Path(*_common([p.parent.parts for p in paths]))
+    return [output_path(p, common, Path(folder)) for p in paths]
+
+
 def _common(parts: list[tuple[str, ...]]) -> tuple[str, ...]:
     found = []
     for level in zip(*parts, strict=False):

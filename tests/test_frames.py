@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import json
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
@@ -243,6 +244,41 @@ def test_command_line(tmp_path, capsys):
     assert main([str(f), "--output-dir", str(tmp_path / "o")]) == 0 and (tmp_path / "o/n.redacted.txt").exists()
 
 
+def test_flags_that_do_not_go_together(tmp_path, capsys, monkeypatch):
+    f = tmp_path / "n.txt"
+    f.write_text("host 10.1.2.3\n")
+    (tmp_path / "link").symlink_to(f)
+    os.link(f, tmp_path / "hard")
+    wrong = [
+        ["-o", str(f)], ["-o", str(tmp_path / "link")], ["-o", str(tmp_path / "hard")], ["--export-map", str(f)], ["--audit-log", str(f)],
+        ["-o", str(tmp_path / "x"), "--export-map", str(tmp_path / "x")], ["--check", "--diff"], ["--check", "-o", str(tmp_path / "x")], ["--consume"],
+        ["--session-ttl", "1h"], ["--doctor"], ["-o", str(tmp_path / "x"), "--output-dir", str(tmp_path / "y")], ["--restore", "--enable", "ipv4"],
+    ]
+    for more in wrong:
+        assert main([str(f), *more]) == 1 and capsys.readouterr().err.startswith("error: "), more
+    assert f.read_text() == "host 10.1.2.3\n" and not (tmp_path / "x").exists()
+    assert main(["--output-dir", str(tmp_path / "y")]) == 1 and main(["--list-rules", "--doctor"]) == 1
+
+    state = ["--state-dir", str(tmp_path / "s")]
+    for name in ("a", "b"):
+        assert main([str(f), "-o", str(tmp_path / "r"), "--save-session", name, *state]) == 0
+    (tmp_path / "bad.toml").write_text("[rules\n")
+    capsys.readouterr()
+    log = tmp_path / "log"
+    assert main([str(tmp_path / "r"), "--restore", "--session", "a", "--config", str(tmp_path / "bad.toml"), "--audit-log", str(log), *state]) == 0
+    said = capsys.readouterr()
+    assert said.out == f.read_text() and "without settings" in said.err and not log.exists()
+    assert main([str(f), "--config", str(tmp_path / "bad.toml")]) == 1
+    assert main(["--forget-all", *state]) == 0 and main(["--list-sessions", *state]) == 0 and capsys.readouterr().out.strip() == ""
+
+    f.write_text("hash 0123456789abcdef0123456789abcdef\n")
+    plain = main([str(f), "--check"])
+    monkeypatch.setenv("CLOAKWORK_PROFILE", "pentest")
+    assert (plain, main([str(f), "--check"])) == (0, 1)
+    monkeypatch.setenv("CLOAKWORK_PROFILE", "nosuch")
+    assert main([str(f), "--check"]) == 1
+
+
 def test_streams(spark, tmp_path):
     schema = "session string, doc_id long, text string, ts timestamp"
     folder = str(tmp_path / "in")
