@@ -323,6 +323,9 @@ _LETTERS_OR_SIGNS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 _SINGLE_DIGITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT_PATTERNS = frozenset({_LETTERS_OR_SIGNS, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", _SINGLE_DIGITS})
 
+#: Those by which no white space gets into a pre-token.
+DROPS_WHITE_SPACE = frozenset({_SINGLE_DIGITS})
+
 
 def whole_texts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the texts that aren't empty: chunks for patterns that pretoken_cuts doesn't know."""

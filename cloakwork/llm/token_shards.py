@@ -1,7 +1,8 @@
 """Token ids in grammar-compressed binary shards with random access.
 
 Encoding. Texts go through the tokenizers library, with its defaults; an end id follows each document. Texts are cut where the vocabulary's
-pre-tokenizer always begins a piece, each distinct chunk is encoded once while the worker remembers it, and the ids are gathered. A text that holds the
+pre-tokenizer always begins a piece, each distinct chunk is encoded once while the worker remembers it, and the ids are gathered. New
+chunks go to the library a few at a time, with a word between them whose one id no chunk can give, as a call for each costs more than its pieces. A text that holds the
 string of an added token, which the library takes out first, goes to it whole, and so does every text where the file's pre-tokenizer isn't one
 that the cuts are known to be right for. With `special_as_text` the strings of special tokens are ordinary text.
 
@@ -37,11 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import CUT_PATTERNS, ChunkStore, blocks, gathered, pretoken_cuts
+from .chunks import DROPS_WHITE_SPACE, ChunkStore, blocks, gathered, pretoken_cuts
 from .common import released, small_batches
 
 MAGIC, HEAD = b"RPT1", struct.Struct("<4sIQIII")
 SYMBOLS, CHUNKS = 1 << 16, 1_390_000
+#: A word between chunks, a control character, and how many chunks are encoded together.
+MARK, TOGETHER = b"\x01", 16
 SHARD_SCHEMA = "part int, shard int, start_in_part long, n_docs int, n_tokens long, first_id long, last_id long, blob binary"
 
 
@@ -56,11 +59,22 @@ class ChunkEncoder:
         #: Strings that the library takes out of a text before anything else; a text that holds one goes to it whole.
         self.taken_out = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.cuts = pretoken_cuts if _pattern_of(tokenizer_path) in CUT_PATTERNS else None
+        self.cuts = pretoken_cuts if _pattern_of(tokenizer_path) in DROPS_WHITE_SPACE else None
+        between = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        #: The id of the mark, if it is a single one.
+        self.mark = between[0] if len(between) == 1 else None
         self.store = ChunkStore(self._solve, np.uint32, CHUNKS)
 
-    def _solve(self, chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+    def _solve(self, chunks: list[bytes]) -> list:
+        if self.mark is None or any(MARK in c for c in chunks):
+            return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        joined = [(b" " + MARK + b" ").join(chunks[i : i + TOGETHER]).decode() for i in range(0, len(chunks), TOGETHER)]
+        values = []
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark).tolist()
+            values += [ids[i:j] for i, j in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)]
+        return values
 
     def encode_column(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, ids, number of ids of each text) of consecutive slices; an end id closes each text. Null is empty."""

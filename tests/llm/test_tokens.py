@@ -268,6 +268,16 @@ def test_ids_must_fit(spark):
         token_shards.write_shards(spark.createDataFrame([(1, "a")], "doc_id long, text string"), fresh_path(spark, "t"), vocabulary(WORD_BPE), base=40_000)
 
 
+def test_chunks_that_hold_the_mark(words_tokenizer):
+    """New chunks are encoded together with a mark between them; texts with that mark, and marks that accents follow, come out as from the library."""
+    texts = ["x\x01y \x01 z", "\x01", "q \x01", "e \u0301a \x01 \u0301", "\x01\x01 \x01", "plain words, then 12.5 of \u03a3\u0391\u03a3 ", *(f"w{i} v{i}" for i in range(40))]
+    for some in (texts, texts[5:], texts[::-1]):
+        e = token_shards.ChunkEncoder(vocabulary(WORD_BPE))
+        assert e.mark is not None
+        found = np.concatenate([x[2] for x in e.encode_column(pa.array(some), 1)]).tolist()
+        assert found == [i for t in some for i in [*words_tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+
+
 def test_special_strings_as_text(words_tokenizer):
     """Asked for, the strings of special tokens are ordinary text."""
     from tokenizers import Tokenizer
