@@ -238,9 +238,9 @@ class ByteIndex:
 
 
 class ChunkStore:
-    """Numbers chunks and keeps what `solve` says of each: an array of numbers of any length. Emptied when full, by number or by bytes."""
+    """Numbers chunks and keeps what `solve` says of each: an array of numbers of any length; it returns a list of them, or all of them joined and their sizes. Emptied when full, by number or by bytes."""
 
-    def __init__(self, solve: Callable[[list[bytes]], list], kind, limit: int, most_bytes: int = 1 << 26):
+    def __init__(self, solve: Callable[[list[bytes]], list | tuple], kind, limit: int, most_bytes: int = 1 << 26):
         self.solve, self.kind, self.keys, self.most_bytes = solve, kind, ByteIndex(limit), most_bytes
         self._reset()
 
@@ -266,12 +266,16 @@ class ChunkStore:
         at = lost[first]
         raw = data.tobytes()
         values = self.solve([raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        if isinstance(values, tuple):
+            flat, sizes = values
+        else:
+            sizes = np.fromiter(map(len, values), np.int64, len(values))
+            flat = np.concatenate([np.asarray(v, self.kind) for v in values]) if len(values) else []
         total = int(sizes.sum())
         own = self.keys.add(data, starts[at], ends[at], h[at])
         self.starts, self.sizes, self.flat = _room(self.starts, self.keys.n), _room(self.sizes, self.keys.n), _room(self.flat, self.used + total)
         self.starts[own], self.sizes[own] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.flat[self.used : self.used + total] = np.concatenate([np.asarray(v, self.kind) for v in values]) if total else []
+        self.flat[self.used : self.used + total] = flat
         self.used += total
         code[lost] = own[number]
         return code

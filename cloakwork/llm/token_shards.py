@@ -26,6 +26,7 @@ hash, equal rows in any order); other columns are left out. An empty table gives
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -52,6 +53,7 @@ class ChunkEncoder:
     """Encodes by the library, each distinct chunk once while it is remembered."""
 
     def __init__(self, tokenizer_path: str, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would take those of others
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -65,16 +67,13 @@ class ChunkEncoder:
         self.mark = between[0] if len(between) == 1 else None
         self.store = ChunkStore(self._solve, np.uint32, CHUNKS)
 
-    def _solve(self, chunks: list[bytes]) -> list:
+    def _solve(self, chunks: list[bytes]) -> list | tuple[np.ndarray, np.ndarray]:
         if self.mark is None or any(MARK in c for c in chunks):
             return [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        joined = [(b" " + MARK + b" ").join(chunks[i : i + TOGETHER]).decode() for i in range(0, len(chunks), TOGETHER)]
-        values = []
-        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark).tolist()
-            values += [ids[i:j] for i, j in zip([0, *(x + 1 for x in at)], [*at, len(ids)], strict=True)]
-        return values
+        joined = [((b" " + MARK + b" ").join(chunks[i : i + TOGETHER]) + b" " + MARK).decode() for i in range(0, len(chunks), TOGETHER)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        at = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(at, prepend=-1) - 1  # a mark closes each chunk
 
     def encode_column(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, ids, number of ids of each text) of consecutive slices; an end id closes each text. Null is empty."""
