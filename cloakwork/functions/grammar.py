@@ -151,7 +151,7 @@ GATES = {
     "private_key": ("-----beg",), "kerberos_hash": ("$",), "sam_dump": (":::",), "ntlmv2_hash": ("::",), "kerberos_key": ("-c",), "jwt": (".ey",), "dcc2_hash": ("dcc2$",),
     "dpapi_key": ("dpap", "nl$"), "machine_hex_password": ("_hex:",), "ntlm_hash": (":",), "impacket_hashes": ("-ha", "-h"), "nthash_plaintext": (":",), "domain_context": (":", "="),
     "context_secret": (":", "="), "prose_secret": ("'", '"', "`"), "smb_user_pass": ("-u",), "cli_flag_secret": ("-",), "slash_param_secret": ("/",), "windows_sid": ("-1-5-21-",), "ssn": ("-",),
-    "spn": ("/",), "ad_domain_user": ("\\",), "ad_domain_user_slash": ("/",), "url": ("://",), "email": ("@",), "phone": ("-", "."), "unc_path": ("\\\\",), "linux_home_path": ("/home/",),
+    "spn": ("/",), "ad_domain_user": ("\\",), "ad_domain_user_slash": ("/",), "url": ("://",), "email": ("@",), "phone": ("-", ".", "("), "unc_path": ("\\\\",), "linux_home_path": ("/home/",),
     "windows_user_path": (":\\",), "cidr": ("/",), "ipv4": (".",), "ipv6": (":",), "mac": (":", "-", "."), "hostname_internal": (".",), "rdns_single_label": (":",), "smb_netbios_name": ("(name:", "cn="),
     "ldap_dn_domain": ("dc=",), "ldap_samaccountname": ("=", ":"), "impacket_status_user": ("] ",), "netexec_spray_password": ("[*]",), "ldap_cn_lowercase_user": ("cn=",), "ldap_comment_user": ("#",),
     "nmap_ntlm_field": ("|",), "kerberoast_table_name": ("spn_",), "ldap_description": (":",), "json_description": (":",), "ldap_cn_users_member": ("cn=",),
