@@ -49,16 +49,21 @@ def differences(spark, folder, name):
     [
         "audit_counts",
         "check_mode",
+        "detect_by_source_lang",
     ],
 )
 def test_agrees_with_sql(spark, tmp_path, name):
     assert differences(spark, written(tmp_path, TEXTS, range(len(TEXTS))), name) == ([], [])
 
 
-@pytest.mark.parametrize("name", ["audit_counts"])
+@pytest.mark.parametrize("name", ["audit_counts", "detect_by_source_lang"])
 def test_several_rows_of_an_id(spark, tmp_path, name):
     assert differences(spark, written(tmp_path, TEXTS[:6] * 2, [*range(6), *range(6)]), name) == ([], [])
 
 
+def test_total_without_matches(spark, tmp_path):
+    assert differences(spark, written(tmp_path, ["nothing"], [1]), "detect_by_source_lang") == ([], [])
+
+
 def test_phone_without_dot_or_hyphen():
     assert sanitize("call (555) 123 4567")[0] == "call [PHONE_REDACTED_0001]"
