@@ -51,6 +51,7 @@ def differences(spark, folder, name):
         "check_mode",
         "detect_by_source_lang",
         "detect_counts_by_rule",
+        "detect_phone",
     ],
 )
 def test_agrees_with_sql(spark, tmp_path, name):
