@@ -44,9 +44,10 @@ def unified_diff(before: str, after: str) -> str:
     return "".join(difflib.unified_diff(before.splitlines(keepends=True), after.splitlines(keepends=True), "original", "redacted"))
 
 
-def stats(redacted: DataFrame, *by: str) -> DataFrame:
-    """(by, category, n_values, n_documents, n_replacements); a rollup over the columns in `by` if there are any."""
-    numbered = redacted.select(*by, "applied").withColumn("row", F.monotonically_increasing_id())  # before the rows multiply
+def stats(redacted: DataFrame, *by: str, id_col: str | None = None) -> DataFrame:
+    """(by, category, n_values, n_documents, n_replacements); a rollup over the columns in `by` if there are any. A document is a row, or all rows of an id."""
+    told_by = F.monotonically_increasing_id() if id_col is None else F.struct(id_col)
+    numbered = redacted.select(*by, "applied", told_by.alias("row"))  # before the rows multiply
     rows = numbered.select(*by, "row", F.explode("applied").alias("a")).select(*by, "row", F.col("a.category").alias("category"), F.col("a.original").alias("original"))
     grouped = rows.rollup(*by, "category") if by else rows.groupBy("category")
     return grouped.agg(F.countDistinct("row", "original").alias("n_values"), F.countDistinct("row").alias("n_documents"), F.count("*").alias("n_replacements"))

@@ -58,13 +58,14 @@ def differences(spark, folder, name):
         "detect_credit_card_luhn",
         "detect_ipv4",
         "pii_candidates",
+        "redaction_stats_by_category",
     ],
 )
 def test_agrees_with_sql(spark, tmp_path, name):
     assert differences(spark, written(tmp_path, TEXTS, range(len(TEXTS))), name) == ([], [])
 
 
-@pytest.mark.parametrize("name", ["audit_counts", "detect_by_source_lang"])
+@pytest.mark.parametrize("name", ["audit_counts", "detect_by_source_lang", "redaction_stats_by_category"])
 def test_several_rows_of_an_id(spark, tmp_path, name):
     assert differences(spark, written(tmp_path, TEXTS[:6] * 2, [*range(6), *range(6)]), name) == ([], [])
 
