@@ -28,11 +28,51 @@ def restore_text(text: str, originals: dict[str, str]) -> tuple[str, list[tuple[
         used.setdefault(m[0], originals[m[0]])
         return originals[m[0]]
 
+    if text in originals:
+        return originals[text], [("restore", originals[text], text)]
     if originals:
         text = _matcher(tuple(originals)).sub(put, text)
     return text, [("restore", o, t) for t, o in used.items()]
 
 
+@lru_cache(64)
+def _anywhere(tokens: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, sorted(tokens, key=len, reverse=True))))
+
+
+_joins, _stands_before = re.compile(r"[-.\w]").match, re.compile(r"\w|[-.]\w").match
+
+
+def embedded(text: str, originals: dict[str, str], before: str) -> dict[str, str]:
+    """Runs of a redacted text in which a token touches a word, a dot or a hyphen, and what they were in the text before.
+
+    Restoring leaves such tokens alone, as others may have made the run; with the whole run known it comes back too.
+    """
+    found: dict[str, str] = {}
+    if not originals:
+        return found
+    tokens, place = _anywhere(tuple(originals)), 0
+    while m := tokens.search(text, place):
+        start, end = m.span()
+        place = end
+        if not (start and _joins(text[start - 1]) or _stands_before(text, end)):
+            continue
+        while start and _joins(text[start - 1]):
+            start -= 1
+        while end < len(text):
+            if more := tokens.match(text, end):
+                end = more.end()
+            elif _joins(text[end]):
+                end += 1
+            else:
+                break
+        place, run = end, text[start:end]
+        was = tokens.sub(lambda t: originals[t[0]], run)
+        if was in before and run not in before:
+            found.setdefault(run, was)
+    return found
+
+
 def unresolved(text: str) -> list[str]:
     """Token-shaped strings that are left, each once, in order."""
     return list(dict.fromkeys(m[0] for m in find_tokens(text)))
